@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semgraph.functions.values import RESERVED_KEYS, as_text, map_of, truthy
+from semgraph.functions.values import RESERVED_KEYS, as_text, map_last_wins, map_of, truthy
 
 # Column-name patterns and the entity type they suggest, first match wins (fixed values).
 ENTITY_PATTERNS = {
@@ -169,25 +169,24 @@ def project_properties(df: DataFrame, mapping: dict[str, str] | None = None,
 
 def map_properties(entities: DataFrame, ontology) -> DataFrame:
     """Rename property keys to the ontology's spelling, ignoring case; unknown keys stay."""
-    from semgraph.functions.values import map_last_wins
-
-    renamed = F.col("props")
-    for name, props in ontology.property_names().items():
-        if not props:
-            continue
+    def respelled(props: list[str]) -> Column:
         spelling: dict[str, str] = {}
         for p in props:
             spelling.setdefault(p.lower(), p)
-        flat = [F.lit(x) for pair in spelling.items() for x in pair]
-        canonical = F.create_map(*flat)
+        canonical = F.create_map(*[F.lit(x) for pair in spelling.items() for x in pair])
         exact = F.array(*[F.lit(p) for p in props])
-        entries = F.transform(
-            F.map_entries("props"),
-            lambda e, canonical=canonical, exact=exact: F.struct(
-                F.when(F.array_contains(exact, e["key"]), e["key"]).otherwise(
-                    F.coalesce(F.element_at(canonical, F.lower(e["key"])), e["key"])).alias("key"),
-                e["value"].alias("value")))
-        renamed = F.when(F.col("type") == name, map_last_wins(entries)).otherwise(renamed)
+
+        def rename(entry: Column) -> Column:
+            known = F.coalesce(F.element_at(canonical, F.lower(entry["key"])), entry["key"])
+            key = F.when(F.array_contains(exact, entry["key"]), entry["key"]).otherwise(known)
+            return F.struct(key.alias("key"), entry["value"].alias("value"))
+
+        return map_last_wins(F.transform(F.map_entries("props"), rename))
+
+    renamed = F.col("props")
+    for name, props in ontology.property_names().items():
+        if props:
+            renamed = F.when(F.col("type") == name, respelled(props)).otherwise(renamed)
     return entities.withColumn("props", renamed)
 
 
