@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from semgraph.session import materialize
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -30,6 +32,17 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{table}.parquet")
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, written once per application and read back from then on."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        _STORED[key] = materialize(build())
+    return _STORED[key]
+
+
 def joined(items: Column) -> Column:
     """Array as text, for comparison between engines."""
     return F.array_join(items, ",")

@@ -6,6 +6,7 @@ The retail graph holds every region, nation, supplier, customer and order as an
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from semgraph.operators.graph_query import (all_paths, get_entity, graph_query,
                                             shortest_paths)
 from semgraph.operators.triples import (RDF_TYPE, match_triples, to_triples, triple_neighbors,
                                         triple_stats)
+from semgraph.session import scratch_dir
+from semgraph.sources.graph_tables import read_graph, write_graph
 
 CATALOG = Catalog()
 
@@ -35,7 +38,7 @@ SOURCES = {
 }
 
 
-def retail_graph(spark, sf):
+def build_retail(spark, sf):
     entities, relations = [], []
     for kind, (table, columns) in SOURCES.items():
         rows = read(spark, sf, table).select(
@@ -47,16 +50,30 @@ def retail_graph(spark, sf):
     return tuple(reduce(lambda a, b: a.unionByName(b), parts) for parts in (entities, relations))
 
 
-def event_graph(spark, sf):
+def build_events(spark, sf):
     rows = read(spark, sf, "events").select(
         F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string"), "event_type",
         F.lit("events").alias("workspace_id"), F.col("event_id").alias("seq"))
     return extract(rows, {"entity_type_mapping": {"id": "Event"}}, keep=("workspace_id", "seq"))
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
 def whole_graph(spark, sf):
-    pairs = zip(retail_graph(spark, sf), event_graph(spark, sf), strict=True)
-    return tuple(a.unionByName(b) for a, b in pairs)
+    """Entities and relations of both workspaces, extracted and written once per application as
+    graph tables partitioned by workspace."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _WRITTEN:
+        pairs = zip(build_retail(spark, sf), build_events(spark, sf), strict=True)
+        path = f"{scratch_dir(spark)}/graph-{uuid.uuid4().hex}"
+        write_graph(*[a.unionByName(b) for a, b in pairs], path)
+        _WRITTEN[key] = path
+    return read_graph(spark, _WRITTEN[key])
+
+
+def retail_graph(spark, sf):
+    return tuple(df.filter("workspace_id = 'retail'") for df in whole_graph(spark, sf))
 
 
 # The same graph for the checking engine.

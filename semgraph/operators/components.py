@@ -25,7 +25,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str]) ->
             e.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(*key_u).agg(F.least(F.min("v"), F.first("u")).alias("m"))
         return (both.filter("v > u").join(low, key_u)
-                .select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+                .select(*keys, F.col("v").alias("u"), F.col("m").alias("v")))
 
     def small_star(e: DataFrame) -> DataFrame:
         down = e.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
