@@ -381,14 +381,18 @@ def summary(spark, sf):
 def diff_from_cache(spark, sf):
     """Differences of urgent orders are on record (marked as such), the others are computed."""
     old, new = both_versions(spark, sf)
-    urgent = old.models.filter("description = '1-URGENT'").select("model_id")
-    stored = diff_models(*(reg.map(lambda df: df.join(urgent, "model_id", "left_semi"))
-                           for reg in (old, new))).select(
-        "model_id", F.lit("1").alias("old_version"), F.lit("2").alias("new_version"), "category",
-        "change_type", "element_name", F.lit("stored").alias("old_value"), "new_value")
+
+    def on_record():
+        urgent = old.models.filter("description = '1-URGENT'").select("model_id")
+        sides = (reg.map(lambda df: df.join(urgent, "model_id", "left_semi")) for reg in (old, new))
+        return diff_models(*sides).select(
+            "model_id", F.lit("1").alias("old_version"), F.lit("2").alias("new_version"), "category",
+            "change_type", "element_name", F.lit("stored").alias("old_value"), "new_value")
+
+    known = stored(spark, sf, "urgent_changes", on_record)
     pairs = old.models.select("model_id", F.lit("1").alias("old_version"),
                               F.lit("2").alias("new_version"))
-    return cached_diff(stored, pairs, registry(spark, sf)).select(
+    return cached_diff(known, pairs, registry(spark, sf)).select(
         "model_id", "category", "element_name", "old_value")
 
 

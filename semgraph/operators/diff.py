@@ -16,30 +16,32 @@ CARDINALITY_RANK = {"many_to_many": 0, "many_to_one": 1, "one_to_many": 1, "one_
 CHANGE = ["category", "change_type", "element_name", "old_value", "new_value"]
 
 
-def elements(reg: Registry) -> DataFrame:
-    """``model_id, kind, owner, name, description, text, items``: the parts a diff looks at."""
+SLOT = ["kind", "owner", "name"]
+
+
+def elements(reg: Registry, keys: list[str] = ("model_id",)) -> DataFrame:
+    """``keys, kind, owner, name`` and ``_e`` with description, text and items: the parts a diff
+    looks at. Of elements with one name the last in order counts."""
     none, no_items = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
 
     def rows(df: DataFrame, kind: str, owner: Column, text: Column, items: Column) -> DataFrame:
-        return df.select("model_id", F.lit(kind).alias("kind"), owner.alias("owner"), "name",
+        return df.select(*keys, F.lit(kind).alias("kind"), owner.alias("owner"), "name",
                          "description", text.alias("text"), items.alias("items"), "ord")
 
-    keys = F.array_distinct(F.transform("join_keys", lambda k: F.concat(
+    pairs = F.array_distinct(F.transform("join_keys", lambda k: F.concat(
         k["from_key"], F.lit("="), k["to_key"])))
     parts = [
         rows(reg.objects, "object", F.lit(""), none, F.array_distinct("identifiers")),
         rows(reg.properties, "property", F.col("object"), F.col("type"), no_items),
-        rows(reg.relationships, "relationship", F.lit(""), F.col("cardinality"), keys),
+        rows(reg.relationships, "relationship", F.lit(""), F.col("cardinality"), pairs),
         rows(reg.metrics, "metric", F.lit(""), F.col("expression"), F.array_distinct("grain")),
         rows(reg.dimensions, "dimension", F.lit(""), F.col("source_property"), no_items),
     ]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    keyed = ["model_id", "kind", "owner", "name"]
-    last = out.groupBy(*keyed).agg(F.max_by(
+    return out.groupBy(*keys, *SLOT).agg(F.max_by(
         F.struct("description", "text", F.array_sort("items").alias("items")), "ord").alias("_e"))
-    return last.select(*keyed, "_e")
 
 
 def _shown(items: Column) -> Column:
@@ -51,9 +53,14 @@ def diff_models(old: Registry, new: Registry) -> DataFrame:
 
     Properties are compared only where their object exists on both sides.
     """
-    keyed = ["model_id", "kind", "owner", "name"]
-    both = (elements(old).withColumnRenamed("_e", "o")
-            .join(elements(new).withColumnRenamed("_e", "n"), keyed, "full_outer"))
+    return diff_elements(elements(old), elements(new), ["model_id"])
+
+
+def diff_elements(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Changes between two sets of elements per ``keys``. The elements come grouped by the join
+    keys, so the join adds no shuffle."""
+    both = (old.withColumnRenamed("_e", "o")
+            .join(new.withColumnRenamed("_e", "n"), [*keys, *SLOT], "full_outer"))
     kind = F.col("kind")
     label = F.when(kind == "property", F.concat_ws(".", "owner", "name")).otherwise(F.col("name"))
     none = F.lit(None).cast("string")
@@ -107,13 +114,11 @@ def diff_models(old: Registry, new: Registry) -> DataFrame:
         change(text_differs & (kind == "dimension"), F.lit("dimension_removed"), True,
                F.col("o.text"), F.col("n.text")),
     ]
-    found = both.select("model_id", "kind", "owner", F.inline(F.array_compact(F.array(*changes))))
-    names_old = old.objects.select("model_id", F.col("name").alias("owner"))
-    names_new = new.objects.select("model_id", F.col("name").alias("owner"))
-    kept = names_old.distinct().join(names_new.distinct(), ["model_id", "owner"])
-    of_properties = found.filter("kind = 'property'").join(kept, ["model_id", "owner"], "left_semi")
+    found = both.select(*keys, "kind", "owner", F.inline(F.array_compact(F.array(*changes))))
+    kept = both.filter((kind == "object") & present).select(*keys, F.col("name").alias("owner"))
+    of_properties = found.filter("kind = 'property'").join(kept, [*keys, "owner"], "left_semi")
     rest = found.filter("kind <> 'property'")
-    return rest.select("model_id", *CHANGE).unionByName(of_properties.select("model_id", *CHANGE))
+    return rest.select(*keys, *CHANGE).unionByName(of_properties.select(*keys, *CHANGE))
 
 
 def diff_summary(changes: DataFrame, models: DataFrame | None = None) -> DataFrame:

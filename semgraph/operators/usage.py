@@ -51,6 +51,19 @@ def request_cost(df: DataFrame, prices: dict[str, tuple[float, float]] | None =
                          + F.col("output_tokens") / 1e6 * price(1))
 
 
+def _micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970 of either timestamp type."""
+    if dict(df.dtypes)[ts] == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
+    return F.unix_micros(ts)
+
+
+def _instant(df: DataFrame, ts: str, micros: str) -> Column:
+    if dict(df.dtypes)[ts] == "timestamp_ntz":
+        return F.timestamp_add("MICROSECOND", F.col(micros), F.lit("1970-01-01").cast("timestamp_ntz"))
+    return F.timestamp_micros(micros)
+
+
 def miss_instants(df: DataFrame, ttl: float = CACHE_TTL, key: str = "request_key",
                   ts: str = "ts") -> DataFrame:
     """``key, ts`` of the requests that fill the cache: the first one, then each first request at
@@ -61,7 +74,7 @@ def miss_instants(df: DataFrame, ttl: float = CACHE_TTL, key: str = "request_key
     repeats combine map-side before the shuffle.
     """
     step = int(round(ttl * 1_000_000))
-    instants = (df.select(key, F.unix_micros(ts).alias("_us")).distinct()
+    instants = (df.select(key, _micros(df, ts).alias("_us")).distinct()
                 .repartition(key).sortWithinPartitions(key, "_us"))
 
     def fills(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,7 +98,7 @@ def miss_instants(df: DataFrame, ttl: float = CACHE_TTL, key: str = "request_key
 
     kind = dict(df.dtypes)[key]
     found = instants.mapInPandas(fills, f"{key} {kind}, _us long")
-    return found.select(key, F.timestamp_micros("_us").alias(ts))
+    return found.select(key, _instant(df, ts, "_us").alias(ts))
 
 
 def label_cache_hits(df: DataFrame, ttl: float = CACHE_TTL, key: str = "request_key",

@@ -59,12 +59,13 @@ class Registry:
         return self.map(lambda df: df.filter(condition))
 
 
-def read_models(spark: SparkSession, path: str) -> DataFrame:
-    """One row per JSON model file: ``model_id`` (file name), ``version_id``, ``raw`` and the
-    parsed ``doc``. Files are read and parsed by the executors."""
+def read_models(spark: SparkSession, path: str, pattern: str = "*.json",
+                id_pattern: str = r"([^/]+)\.[^./]+$") -> DataFrame:
+    """One row per JSON model file: ``model_id`` (what ``id_pattern`` captures of the path, the file
+    name by default), ``version_id``, ``raw`` and the parsed ``doc``. The executors read and parse."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True,
-                            pathGlobFilter="*.json")
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1)
+                            pathGlobFilter=pattern)
+    name = F.regexp_extract(F.col("_metadata.file_path"), id_pattern, 1)
     return (files.select(name.alias("model_id"), F.col("value").alias("raw"))
             .withColumn("doc", F.from_json("raw", MODEL_SCHEMA))
             .withColumn("version_id", F.coalesce("doc.version", F.lit("1.0.0")))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -54,6 +55,7 @@ def stream_label_cache_hits(stream: DataFrame, ttl: float = 3600, key: str = "re
                             delay: str = "10 minutes") -> DataFrame:
     """Add ``cached`` to a stream of requests. Requests of a key are taken in time order within a
     micro-batch; across batches in arrival order. Needs the RocksDB state store provider."""
+    stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields]
     return stream.withWatermark(ts, delay).groupBy(key).transformWithStateInPandas(
         statefulProcessor=_CacheState(ttl, ts, tie),
