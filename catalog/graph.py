@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from catalog.base import Catalog, props_text, read
+from catalog.base import Catalog, props_text, read, stored
 from semgraph.operators.extract import extract, project_properties
 from semgraph.operators.graph_build import (clean_relations, dedupe_entities, delete_entities,
                                             entity_id_map, ingest_stats, merge_relations,
@@ -72,6 +72,10 @@ def whole_graph(spark, sf):
     return read_graph(spark, _WRITTEN[key])
 
 
+def stored_triples(spark, sf):
+    return stored(spark, sf, "triples", lambda: to_triples(*whole_graph(spark, sf)))
+
+
 def retail_graph(spark, sf):
     return tuple(df.filter("workspace_id = 'retail'") for df in whole_graph(spark, sf))
 
@@ -493,7 +497,7 @@ def triples(spark, sf):
     WITH {GRAPH}, {TRIPLES} SELECT 'urn:semgraph/graph/workspace/' || ws AS graph,
       COUNT(DISTINCT s) AS nodes, COUNT(*) AS edges FROM tri GROUP BY ws""")
 def stats_of_triples(spark, sf):
-    return triple_stats(to_triples(*whole_graph(spark, sf)))
+    return triple_stats(stored_triples(spark, sf))
 
 
 @CATALOG.add("triples_pattern", """
@@ -503,7 +507,7 @@ def stats_of_triples(spark, sf):
 def pattern(spark, sf):
     """Orders of customers in one region, with the customer's name."""
     rel, prop = "urn:semgraph/relation/", "urn:semgraph/property/"
-    found = match_triples(to_triples(*whole_graph(spark, sf)), [
+    found = match_triples(stored_triples(spark, sf), [
         ("?o", RDF_TYPE, "urn:semgraph/type/Order"),
         ("?o", rel + "HAS_CUSTOMER", "?c"),
         ("?c", prop + "name", "?name"),
@@ -519,7 +523,7 @@ def pattern(spark, sf):
     WHERE c_mktsegment = 'BUILDING' ORDER BY 1 LIMIT 100""")
 def pattern_limited(spark, sf):
     found = match_triples(
-        to_triples(*whole_graph(spark, sf)),
+        stored_triples(spark, sf),
         [("?c", "urn:semgraph/property/segment", "BUILDING"),
          ("?c", "urn:semgraph/property/workspace_id", "retail")], ["c"], 100)
     return found.select("c")
@@ -530,5 +534,5 @@ def pattern_limited(spark, sf):
       SELECT 'out' AS direction, 'urn:semgraph/entity/' || {ENC.format('s')} AS node FROM rel
       UNION ALL SELECT 'in', 'urn:semgraph/entity/' || {ENC.format('t')} FROM rel) GROUP BY 1, 2""")
 def union_neighbors(spark, sf):
-    return triple_neighbors(to_triples(*whole_graph(spark, sf))).groupBy("direction", "node").agg(
+    return triple_neighbors(stored_triples(spark, sf)).groupBy("direction", "node").agg(
         F.count("*").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,12 +64,19 @@ def map_of(pairs: dict[str, Column]) -> Column:
     return F.map_filter(F.create_map(*flat), lambda _k, v: v.isNotNull())
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def map_last_wins(entries: Column) -> Column:
     """Map from key/value structs in which a later entry replaces an earlier one of the same key."""
-    def is_last(entry: Column, index: Column) -> Column:
-        rest = F.slice(entries, index + 2, F.size(entries))
-        return ~F.exists(rest, lambda later: later["key"] == entry["key"])
-    return F.map_from_entries(F.filter(entries, is_last))
+    def last_ones(items: Column) -> Column:
+        def is_last(entry: Column, index: Column) -> Column:
+            rest = F.slice(items, index + 2, F.size(items))
+            return ~F.exists(rest, lambda later: later["key"] == entry["key"])
+        return F.filter(items, is_last)
+    return F.map_from_entries(let(entries, last_ones))
 
 
 def map_fingerprint(props: Column) -> Column:

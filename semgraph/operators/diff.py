@@ -1,6 +1,7 @@
 """Difference between model versions, for many models at once.
 
-All five element kinds share one row layout, so a single full outer join compares them.
+All five element kinds share one row layout and both sides are stacked, so a single grouping lines
+up old and new.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ SLOT = ["kind", "owner", "name"]
 
 
 def elements(reg: Registry, keys: list[str] = ("model_id",)) -> DataFrame:
-    """``keys, kind, owner, name`` and ``_e`` with description, text and items: the parts a diff
-    looks at. Of elements with one name the last in order counts."""
+    """``keys, kind, owner, name, ord`` and ``_e`` with description, text and items: the parts a
+    diff looks at."""
     none, no_items = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
 
     def rows(df: DataFrame, kind: str, owner: Column, text: Column, items: Column) -> DataFrame:
         return df.select(*keys, F.lit(kind).alias("kind"), owner.alias("owner"), "name",
-                         "description", text.alias("text"), items.alias("items"), "ord")
+                         "ord", F.struct("description", text.alias("text"),
+                                         F.array_sort(items).alias("items")).alias("_e"))
 
     pairs = F.array_distinct(F.transform("join_keys", lambda k: F.concat(
         k["from_key"], F.lit("="), k["to_key"])))
@@ -40,8 +42,7 @@ def elements(reg: Registry, keys: list[str] = ("model_id",)) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.groupBy(*keys, *SLOT).agg(F.max_by(
-        F.struct("description", "text", F.array_sort("items").alias("items")), "ord").alias("_e"))
+    return out
 
 
 def _shown(items: Column) -> Column:
@@ -57,10 +58,12 @@ def diff_models(old: Registry, new: Registry) -> DataFrame:
 
 
 def diff_elements(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Changes between two sets of elements per ``keys``. The elements come grouped by the join
-    keys, so the join adds no shuffle."""
-    both = (old.withColumnRenamed("_e", "o")
-            .join(new.withColumnRenamed("_e", "n"), [*keys, *SLOT], "full_outer"))
+    """Changes between two sets of elements per ``keys``. Of elements with one name the last in
+    order counts."""
+    stacked = old.withColumn("_old", F.lit(True)).unionByName(new.withColumn("_old", F.lit(False)))
+    both = stacked.groupBy(*keys, *SLOT).agg(
+        F.max_by("_e", F.when(F.col("_old"), F.col("ord"))).alias("o"),
+        F.max_by("_e", F.when(~F.col("_old"), F.col("ord"))).alias("n"))
     kind = F.col("kind")
     label = F.when(kind == "property", F.concat_ws(".", "owner", "name")).otherwise(F.col("name"))
     none = F.lit(None).cast("string")

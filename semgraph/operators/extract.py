@@ -169,25 +169,26 @@ def project_properties(df: DataFrame, mapping: dict[str, str] | None = None,
 
 def map_properties(entities: DataFrame, ontology) -> DataFrame:
     """Rename property keys to the ontology's spelling, ignoring case; unknown keys stay."""
-    def respelled(props: list[str]) -> Column:
-        spelling: dict[str, str] = {}
-        for p in props:
-            spelling.setdefault(p.lower(), p)
-        canonical = F.create_map(*[F.lit(x) for pair in spelling.items() for x in pair])
-        exact = F.array(*[F.lit(p) for p in props])
-
-        def rename(entry: Column) -> Column:
-            known = F.coalesce(F.element_at(canonical, F.lower(entry["key"])), entry["key"])
-            key = F.when(F.array_contains(exact, entry["key"]), entry["key"]).otherwise(known)
-            return F.struct(key.alias("key"), entry["value"].alias("value"))
-
-        return map_last_wins(F.transform(F.map_entries("props"), rename))
-
-    renamed = F.col("props")
+    spellings: Column | None = None
     for name, props in ontology.property_names().items():
-        if props:
-            renamed = F.when(F.col("type") == name, respelled(props)).otherwise(renamed)
-    return entities.withColumn("props", renamed)
+        table: dict[str, str] = {f"={p}": p for p in props}
+        for p in props:
+            table.setdefault(p.lower(), p)
+        if table:
+            of_type = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+            hit = F.col("type") == name
+            spellings = F.when(hit, of_type) if spellings is None else spellings.when(hit, of_type)
+    if spellings is None:
+        return entities
+
+    def rename(entry: Column) -> Column:
+        key = F.coalesce(F.element_at(F.col("_spellings"), F.concat(F.lit("="), entry["key"])),
+                         F.element_at(F.col("_spellings"), F.lower(entry["key"])), entry["key"])
+        return F.struct(key.alias("key"), entry["value"].alias("value"))
+
+    renamed = map_last_wins(F.transform(F.map_entries("props"), rename))
+    return (entities.withColumn("_spellings", spellings).withColumn("props", renamed)
+            .drop("_spellings"))
 
 
 def _fk_columns(columns: list[str], variant: str, patterns: tuple[str, ...]) -> list[tuple]:
