@@ -186,7 +186,7 @@ def extract_entities_and_relations(row, rules):
     import re
     words = re.findall(r"[A-Za-z]+", row["text"] or "")
     if not words:
-        raise ValueError("no words")
+        return [], []
     turn = rules["prefix"] + str(row["conv_id"]) + "/" + str(row["turn"])
     entity = {"type": "Turn", "id": turn, "properties": {"role": row["role"]}}
     relation = {"type": "STARTS_WITH", "source_id": turn, "target_id": "Word:" + words[0].lower(),

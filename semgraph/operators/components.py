@@ -75,11 +75,13 @@ def _contract(edges: DataFrame, keys: list[str], group_edges: int) -> DataFrame:
                 continue
             last = (batch[group] == batch[group].iloc[-1]).all(axis=1).to_numpy()
             tail = len(batch) - int(np.argmin(last[::-1])) if not last.all() else 0
-            if held and tail == 0 and (held[-1][group].iloc[-1] == batch[group].iloc[0]).all():
+            if tail == 0:
+                if held and not (held[-1][group].iloc[-1] == batch[group].iloc[0]).all():
+                    yield finish()
+                    held = []
                 held.append(batch)
                 continue
-            if tail:
-                held.append(batch.iloc[:tail])
+            held.append(batch.iloc[:tail])
             yield finish()
             held = [batch.iloc[tail:]]
         if held:
@@ -107,16 +109,16 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str],
     def large_star(e: DataFrame) -> DataFrame:
         both = e.select(*key_u, "v").unionByName(
             e.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(*key_u).agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = both.groupBy(*key_u).agg(F.least(F.min("v"), F.first("u")).alias("_low"))
         return (both.filter("v > u").join(low, key_u)
-                .select(*keys, F.col("v").alias("u"), F.col("m").alias("v")))
+                .select(*keys, F.col("v").alias("u"), F.col("_low").alias("v")))
 
     def small_star(e: DataFrame) -> DataFrame:
         down = e.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy(*key_u).agg(F.min("v").alias("m"))
+        low = down.groupBy(*key_u).agg(F.min("v").alias("_low"))
         moved = down.join(low, key_u).select(*keys, F.inline(F.array(
-            F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
-            F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
+            F.struct(F.col("u").alias("u"), F.col("_low").alias("v")),
+            F.struct(F.col("v").alias("u"), F.col("_low").alias("v")))))
         return moved.filter("u <> v").distinct()
 
     def unsettled(e: DataFrame) -> int:
