@@ -14,6 +14,7 @@ from semgraph.operators.quality import schema_quality
 from semgraph.operators.registry_checks import structure_errors, validate_models
 from semgraph.operators.regression import evaluate_answers, regression_summary
 from semgraph.operators.usage import label_cache_hits, request_cost, usage_stats
+from semgraph.session import materialize
 from semgraph.sources.models import explode_model, fingerprint, parse_models, read_models
 from semgraph.sources.ontology import Ontology
 
@@ -131,7 +132,8 @@ def test_gates(spark):
     models = {"good": GOOD, "lonely": changed(lonely), "parallel": changed(parallel),
               "unmapped": changed(unmapped), "split": changed(split),
               "keys": changed(BROKEN["join_key"]), "grain": changed(BROKEN["grain"])}
-    gates = evaluate_models(registry(spark, models), "strict")
+    reg = registry(spark, models).map(materialize)
+    gates = evaluate_models(reg, "strict")
     failed = {}
     for r in gates.filter("status = 'fail'").collect():
         failed.setdefault(r["model_id"], {})[r["gate"]] = r["n_findings"]
@@ -142,11 +144,12 @@ def test_gates(spark):
         "grain": {"references_resolved": 1, "metric_grains_consistent": 1}}
     verdict = {r["model_id"]: r["overall_pass"] for r in gate_summary(gates).collect()}
     assert verdict == {m: m == "good" for m in models}
-    relaxed = gate_summary(evaluate_models(registry(spark, models), "relaxed"), strict=False)
+    relaxed = gate_summary(evaluate_models(reg, "relaxed"), strict=False)
     passing = {r["model_id"] for r in relaxed.filter("overall_pass").collect()}
     assert passing == {"good", "parallel", "unmapped", "keys"}
     unbound = spark.createDataFrame([("good", "1")], "model_id string, version_id string")
-    bound = evaluate_models(registry(spark, {"good": GOOD}), {"connected_join_graph": "skip"}, unbound)
+    good = reg.version(F.col("model_id") == "good")
+    bound = evaluate_models(good, {"connected_join_graph": "skip"}, unbound)
     status = {r["gate"]: r["status"] for r in bound.collect()}
     assert status["model_binds"] == "fail" and status["connected_join_graph"] == "skip"
 
