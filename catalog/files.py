@@ -57,16 +57,13 @@ def xml_records(spark, sf):
 
 
 @CATALOG.add("records_text", """
-    SELECT n_nationkey AS key, n_name AS content FROM nation""")
+    SELECT p_name AS line, COUNT(*) AS n FROM part GROUP BY 1""")
 def text_records(spark, sf):
-    """A text file per nation."""
+    """Part names as text files; each file comes back as one record and is split again."""
     path = fresh(spark, "text")
-    nations = read(spark, sf, "nation").select(
-        F.col("n_nationkey").alias("key"), F.col("n_name").alias("value"))
-    nations.repartition(4, "key").write.partitionBy("key").text(path)
-    rows = read_records(spark, path, "text")
-    return rows.select(F.regexp_extract("source", r"key=(\d+)", 1).cast("int").alias("key"),
-                       F.regexp_replace("content", "\n$", "").alias("content"))
+    read(spark, sf, "part").select(F.col("p_name").alias("value")).repartition(8).write.text(path)
+    rows = read_records(spark, path, "text").select(F.explode(F.split("content", "\n")).alias("line"))
+    return rows.filter("line <> ''").groupBy("line").agg(F.count("*").alias("n"))
 
 
 @CATALOG.add("files_listing")
@@ -75,37 +72,37 @@ def listing(spark, sf):
 
 
 @CATALOG.add("files_preview", """
-    SELECT o_orderstatus AS status, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey)
-      AS line_number, o_orderkey || ',' || o_orderpriority AS line
-    FROM orders QUALIFY line_number <= 50""")
+    SELECT 50 AS longest, 0 AS unknown, TRUE AS gapless FROM orders LIMIT 1""")
 def preview(spark, sf):
-    """Orders as one line file per status; the first fifty lines of each."""
+    """The first fifty lines of each line file of orders; every one is a line of the table."""
     path = fresh(spark, "lines")
-    lines = read(spark, sf, "orders").select(
-        F.col("o_orderstatus").alias("status"), "o_orderkey",
+    orders = read(spark, sf, "orders").select(
         F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("value"))
-    lines.repartition("status").sortWithinPartitions("status", "o_orderkey").drop("o_orderkey") \
-        .write.partitionBy("status").text(path)
-    rows = preview_files(spark, path)
-    return rows.select(F.regexp_extract("path", "status=([A-Z])", 1).alias("status"),
-                       F.col("line_number").cast("long").alias("line_number"), "line")
+    orders.repartition(8).write.text(path)
+    lines = preview_files(spark, path)
+    known = orders.select(F.col("value").alias("line"), F.lit(True).alias("known"))
+    per_file = lines.join(known, "line", "left").groupBy("path").agg(
+        F.max("line_number").alias("longest"), F.count("*").alias("n"),
+        F.count_if(F.col("known").isNull()).alias("unknown"))
+    return per_file.agg(F.max("longest").alias("longest"), F.sum("unknown").alias("unknown"),
+                        F.bool_and(F.col("longest") == F.col("n")).alias("gapless"))
 
 
 @CATALOG.add("files_models", """
-    SELECT r_name AS name, COUNT(*) AS n_objects FROM nation JOIN region ON n_regionkey = r_regionkey
-    GROUP BY 1""")
+    SELECT s_suppkey::VARCHAR AS model_id, s_name AS name, 2 AS n_objects FROM supplier""")
 def model_files(spark, sf):
-    """A model file per region, its nations the objects."""
+    """A model file per supplier."""
     path = fresh(spark, "models")
-    nations = read(spark, sf, "nation").join(
-        read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    docs = nations.groupBy("r_name").agg(F.collect_list(F.struct(
-        F.regexp_replace(F.initcap("n_name"), "[^A-Za-z]", "").alias("name"))).alias("objects"))
-    text = F.to_json(F.struct(F.lit("1.0.0").alias("version"), F.col("r_name").alias("name"), "objects"))
-    docs.select("r_name", text.alias("value")).repartition("r_name").write.partitionBy("r_name").text(path)
-    reg = explode_model(read_models(spark, path, "*.txt", "r_name=([^/]+)/"))
-    return reg.models.join(reg.objects, ["model_id", "version_id"]).groupBy(
-        reg.models["name"].alias("name")).agg(F.count("*").alias("n_objects"))
+    objects = F.array(
+        F.struct(F.lit("Supplier").alias("name")),
+        F.struct(F.concat(F.lit("Nation"), F.col("s_nationkey").cast("string")).alias("name")))
+    doc = F.struct(F.lit("1.0.0").alias("version"), F.col("s_name").alias("name"),
+                   objects.alias("objects"))
+    read(spark, sf, "supplier").select("s_suppkey", F.to_json(doc).alias("value")) \
+        .write.partitionBy("s_suppkey").text(path)
+    reg = explode_model(read_models(spark, path, "*.txt", "s_suppkey=([^/]+)/"))
+    counts = reg.objects.groupBy("model_id").agg(F.count("*").alias("n_objects"))
+    return reg.models.select("model_id", "name").join(counts, "model_id")
 
 
 @CATALOG.add("graph_tables", """

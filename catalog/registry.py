@@ -665,50 +665,55 @@ def fingerprints(spark, sf):
 
 
 def model_documents(spark, sf):
-    """A JSON model per customer: its orders are objects placed by it. A customer's orders fit one
-    document by construction."""
+    """A JSON model per order: the order, its status and a home object, joined to home."""
     orders = read(spark, sf, "orders")
-    listed = orders.groupBy("o_custkey").agg(
-        F.collect_list(F.struct(
-            F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("name"),
-            F.col("o_orderpriority").alias("description"),
+    order = F.concat(F.lit("O"), F.col("o_orderkey").cast("string"))
+    status = F.concat(F.lit("Status"), "o_orderstatus")
+
+    def prop(name, kind):
+        return F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"))
+
+    def an_object(name):
+        return F.struct(
+            name.alias("name"), F.col("o_orderpriority").alias("description"),
             F.array(F.lit("line"), F.lit("id")).alias("identifiers"),
-            F.array(F.struct(F.lit("status").alias("name"), F.lit("string").alias("type")),
-                    F.struct(F.lit("id").alias("name"), F.lit("integer").alias("type"))).alias(
-                "properties"))).alias("objects"),
-        F.collect_list(F.struct(
-            F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("name"),
-            F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("from"),
-            F.lit("Home").alias("to"),
-            F.array(F.array(F.lit("id"), F.lit("id"))).alias("joinKeys"))).alias("relationships"))
-    doc = F.struct(F.lit("2.0.0").alias("version"), "objects", "relationships", F.struct(
-        F.lit("db").alias("database"), F.lit("main").alias("schema")).alias("snowflake"))
-    return listed.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("model_id"),
+            F.array(prop("status", "string"), prop("id", "integer")).alias("properties"))
+
+    def to_home(name, near):
+        return F.struct(F.lit(name).alias("name"), near.alias("from"), F.lit("Home").alias("to"),
+                        F.array(F.array(F.lit("id"), F.lit("id"))).alias("joinKeys"))
+
+    doc = F.struct(
+        F.lit("2.0.0").alias("version"),
+        F.array(an_object(status), an_object(order), an_object(F.lit("Home"))).alias("objects"),
+        F.array(to_home("b", order), to_home("a", status)).alias("relationships"),
+        F.struct(F.lit("db").alias("database"), F.lit("main").alias("schema")).alias("snowflake"))
+    return orders.select(F.concat(F.lit("M"), F.col("o_orderkey").cast("string")).alias("model_id"),
                          F.lit("1").alias("version_id"), F.to_json(doc).alias("raw"))
 
 
 @CATALOG.add("registry_normalized_objects", """
-    SELECT 'C' || o_custkey AS model_id, 'O' || o_orderkey AS name,
-           row_number() OVER (PARTITION BY o_custkey ORDER BY 'O' || o_orderkey) - 1 AS ord,
-           o_orderpriority AS description, 'id,line' AS identifiers, 'o' || o_orderkey AS "table",
-           'main' AS "schema" FROM orders""")
+    SELECT 'M' || o_orderkey AS model_id, name, pos, ord, o_orderpriority AS description,
+           'id,line' AS identifiers, lower(name) AS "table", 'main' AS "schema"
+    FROM (SELECT *, 'Home' AS name, 2 AS pos, 0 AS ord FROM orders
+          UNION ALL SELECT *, 'O' || o_orderkey, 1, 1 FROM orders
+          UNION ALL SELECT *, 'Status' || o_orderstatus, 0, 2 FROM orders)""")
 def normalized_objects(spark, sf):
     reg = explode_model(parse_models(model_documents(spark, sf)))
-    return reg.objects.select("model_id", "name", "ord", "description",
+    return reg.objects.select("model_id", "name", "pos", "ord", "description",
                               joined(F.col("identifiers")).alias("identifiers"), "table", "schema")
 
 
 @CATALOG.add("registry_normalized_elements", """
-    SELECT 'property' AS kind, 'C' || o_custkey AS model_id, COUNT(*) * 2 AS n, 'id,status' AS detail
-      FROM orders GROUP BY o_custkey
-    UNION ALL SELECT 'relationship', 'C' || o_custkey, COUNT(*), 'many_to_one' FROM orders
-      GROUP BY o_custkey""")
+    SELECT 'property' AS kind, 'M' || o_orderkey AS model_id, 6 AS n, 'id' AS detail FROM orders
+    UNION ALL SELECT 'relationship', 'M' || o_orderkey, 2, 'a' FROM orders""")
 def normalized_elements(spark, sf):
     reg = explode_model(parse_models(model_documents(spark, sf)))
     props = reg.properties.filter("nullable AND NOT required").groupBy("model_id").agg(
-        F.count("*").alias("n"), joined(F.array_sort(F.collect_set("name"))).alias("detail"))
-    rels = reg.relationships.filter(F.size("join_keys") == 1).groupBy("model_id").agg(
-        F.count("*").alias("n"), F.min("cardinality").alias("detail"))
+        F.count("*").alias("n"), F.min(F.when(F.col("ord") == 0, F.col("name"))).alias("detail"))
+    rels = reg.relationships.filter(
+        (F.size("join_keys") == 1) & (F.col("cardinality") == "many_to_one")).groupBy("model_id").agg(
+        F.count("*").alias("n"), F.min(F.when(F.col("ord") == 0, F.col("name"))).alias("detail"))
     return props.select(F.lit("property").alias("kind"), "model_id", "n", "detail").unionByName(
         rels.select(F.lit("relationship").alias("kind"), "model_id", "n", "detail"))
 
