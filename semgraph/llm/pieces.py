@@ -11,6 +11,8 @@ word of the corpus in both directions, several times the size of the texts.
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 # Chunks that a worker remembers; with more it starts anew, which costs time and no exactness.
 REMEMBERED = 400_000
+# Characters whose chunks are looked up together.
+PORTION = 1_000_000
 
 
 def default_model() -> str:
@@ -55,6 +59,8 @@ class Pieces:
         self.ids: dict[str, bytes] = {}
         self.prefixes: dict[str, bytes] = {}
         self.fits: dict[tuple[int, str], bool] = {}
+        self.names: list[str] = names
+        self.shown: list[bytes] | None = None
 
     def _segment(self, chunks: list[str]) -> list[list[int]]:
         """Ids of chunks that start with a marker: the library puts one before each text."""
@@ -64,16 +70,59 @@ class Pieces:
     def chunks(self, text: str) -> list[str]:
         return CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def text_ids(self, chunks: list[str]) -> bytes:
-        """Ids of a text as int32, from the table of distinct chunks."""
-        new = list({c for c in chunks if c not in self.ids})
-        if new:
-            if len(self.ids) > REMEMBERED:
-                self.ids.clear()
-                new = list(set(chunks))
-            for chunk, ids in zip(new, self._segment(new)):
-                self.ids[chunk] = np.array(ids, np.int32).tobytes()
-        return b"".join([self.ids[c] for c in chunks])
+    def learn_ids(self, chunks: Iterable[str]) -> None:
+        """Enters the ids of chunks, as int32."""
+        new = [c for c in chunks if c not in self.ids]
+        for chunk, ids in zip(new, self._segment(new)):
+            self.ids[chunk] = array("i", ids).tobytes()
+
+    def portions(self, texts: Iterable[str], learn: Callable[[Iterable[str]], None],
+                 known: dict[str, bytes]) -> Iterator[list[str]]:
+        """The chunks of each text, once their distinct ones are in the table ``known``."""
+        def learnt() -> Iterator[list[str]]:
+            if len(known) > REMEMBERED:
+                known.clear()
+                self.fits.clear()
+            learn(set().union(*held))
+            return iter(held)
+
+        held, size = [], 0
+        for text in texts:
+            held.append(self.chunks(text))
+            size += len(text)
+            if size > PORTION:
+                yield from learnt()
+                held, size = [], 0
+        yield from learnt()
+
+    def all_ids(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text as int32, joined by position from the table of distinct chunks."""
+        for chunks in self.portions(texts, self.learn_ids, self.ids):
+            yield b"".join([self.ids[c] for c in chunks])
+
+    def all_counts(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """Token counts of every prefix of each text, from the empty one to the whole."""
+        for chunks in self.portions(texts, self.learn_counts, self.prefixes):
+            yield self.text_counts(chunks)
+
+    def text_of(self, ids: np.ndarray) -> str:
+        """Text of ids: the bytes of their pieces, less the marker that encoding puts in front.
+        Ids that only the library can show (unknown pieces, broken UTF-8) go to the library."""
+        if self.shown is None:
+            special = {i: b"" for i in range(len(self.names)) if self.library.is_control(i)}
+            single = {i: bytes([int(self.names[i][3:5], 16)]) for i in range(len(self.names))
+                      if self.library.is_byte(i)}
+            self.shown = [special.get(i, single.get(i, name.replace(MARK, " ").encode()))
+                          for i, name in enumerate(self.names)]
+        unknown = self.library.unk_id()
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.shown) or (ids == unknown).any()):
+            return self.library.decode(ids.tolist())
+        parts = [self.shown[i] for i in ids.tolist()]
+        try:
+            text = b"".join(parts).decode()
+        except UnicodeDecodeError:
+            return self.library.decode(ids.tolist())
+        return text[1:] if next((p for p in parts if p), b"")[:1] == b" " else text
 
     # Prefix counts ------------------------------------------------------------------------------
 
@@ -84,50 +133,46 @@ class Pieces:
         ids = self.library.encode("\n" + before + name)[2:]
         return ids == ([last] if last >= 0 else []) + [self.vocabulary[name]]
 
-    @property
-    def names(self) -> list[str]:
-        if not hasattr(self, "_names"):
-            self._names = self.library.id_to_piece(list(range(self.library.get_piece_size())))
-        return self._names
-
-    def chunk_counts(self, chunk: str) -> bytes:
-        """Token counts of all prefixes of a chunk, shortest first, as int32.
+    def learn_counts(self, chunks: Iterable[str]) -> None:
+        """Enters token counts of all prefixes of chunks, shortest first, as int32.
 
         The last piece of a prefix is the one piece ending there that goes with the last piece of
         the rest; a pair goes together if encoding its joint text gives the pair. A character
-        outside the vocabulary becomes its bytes, which never merge.
+        outside the vocabulary becomes its bytes, which never merge. In sorted order, chunks take
+        over what their common start with the one before has already shown.
         """
-        n, vocabulary, fits, longest = len(chunk), self.vocabulary, self.fits, self.longest
-        last, count = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                name = chunk[start:end]
-                piece = vocabulary.get(name)
-                if piece is None:
-                    continue
-                pair = (last[start], name)
-                good = fits.get(pair)
-                if good is None:
-                    good = fits[pair] = self._pair_fits(*pair)
-                if good:
-                    last[end], count[end] = piece, count[start] + 1
+        vocabulary, fits, longest, table = self.vocabulary, self.fits, self.longest, self.prefixes
+        before, last, count = "", [-1], [0]
+        for chunk in sorted(c for c in chunks if c not in table):
+            n, same = len(chunk), 0
+            for a, b in zip(before, chunk):
+                if a != b:
                     break
-            else:
-                if chunk[end - 1] in vocabulary:
-                    raise ValueError("no piece ends this prefix; the model is not a merge model")
-                count[end] = count[end - 1] + len(chunk[end - 1].encode())
-        return np.array(count[1:], np.int32).tobytes()
+                same += 1
+            del last[same + 1:], count[same + 1:]
+            for end in range(same + 1, n + 1):
+                for start in range(end - longest if end > longest else 0, end):
+                    name = chunk[start:end]
+                    if name not in vocabulary:
+                        continue
+                    pair = (last[start], name)
+                    good = fits.get(pair)
+                    if good is None:
+                        good = fits[pair] = self._pair_fits(*pair)
+                    if good:
+                        last.append(vocabulary[name])
+                        count.append(count[start] + 1)
+                        break
+                else:
+                    if chunk[end - 1] in vocabulary:
+                        raise ValueError("no piece ends this prefix; the model is not a merge model")
+                    last.append(-1)
+                    count.append(count[end - 1] + len(chunk[end - 1].encode()))
+            table[chunk] = array("i", count[1:]).tobytes()
+            before = chunk
 
     def text_counts(self, chunks: list[str]) -> np.ndarray:
-        """Token counts of every prefix of a text, from the empty one to the whole."""
         table = self.prefixes
-        if len(table) > REMEMBERED:
-            table.clear()
-        if len(self.fits) > 5 * REMEMBERED:
-            self.fits.clear()
-        for chunk in chunks:
-            if chunk not in table:
-                table[chunk] = self.chunk_counts(chunk)
         own = np.frombuffer(b"".join([table[c] for c in chunks]), np.int32).astype(np.int64)
         if not len(own):
             return np.zeros(1, np.int64)
@@ -163,7 +208,7 @@ def encode(text: Column, model: str | None = None, add_end: bool = True) -> Colu
     def ids_of(column: pa.Array) -> pa.Array:
         pieces = _pieces(path)
         end = np.array([pieces.library.eos_id()] * add_end, np.int32).tobytes()
-        parts = [pieces.text_ids(pieces.chunks(t)) + end for t in _strings(column)]
+        parts = [ids + end for ids in pieces.all_ids(_strings(column))]
         offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets),
                                         pa.array(np.frombuffer(b"".join(parts), np.int32)))
@@ -176,8 +221,11 @@ def decode(ids: Column, model: str | None = None) -> Column:
 
     @F.arrow_udf("string")
     def text_of(column: pa.Array) -> pa.Array:
-        library = _pieces(path).library
-        return pa.array([library.decode(ids or []) for ids in column.to_pylist()], pa.string())
+        pieces = _pieces(path)
+        flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(
+            column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        return pa.array([pieces.text_of(flat[start:end]) for start, end in
+                         zip([0, *ends[:-1].tolist()], ends.tolist())], pa.string())
     return text_of.asNondeterministic()(ids)
 
 
@@ -189,7 +237,7 @@ def prefix_counts(text: Column, model: str | None = None) -> Column:
     @F.arrow_udf("array<int>")
     def counts_of(column: pa.Array) -> pa.Array:
         pieces = _pieces(path)
-        parts = [pieces.text_counts(pieces.chunks(t)).astype(np.int32) for t in _strings(column)]
+        parts = [counts.astype(np.int32) for counts in pieces.all_counts(_strings(column))]
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets),
                                         pa.array(np.concatenate([*parts, np.zeros(0, np.int32)])))
@@ -205,8 +253,7 @@ def token_count(text: Column, budget: int, model: str | None = None) -> Column:
     def answers(column: pa.Array) -> pa.Array:
         pieces = _pieces(path)
         whole, fit = [], []
-        for text in _strings(column):
-            counts = pieces.text_counts(pieces.chunks(text))
+        for counts in pieces.all_counts(_strings(column)):
             whole.append(int(counts[-1]))
             fit.append(int(np.flatnonzero(counts <= budget)[-1]))
         return pa.StructArray.from_arrays([pa.array(whole, pa.int64()), pa.array(fit, pa.int64())],
