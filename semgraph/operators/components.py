@@ -2,119 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semgraph.session import materialize
 
-MAX_ROUNDS = 100
-
-# Edges of one graph that a task may hold; a graph with more is spread over several tasks.
-EDGES_PER_GROUP = 200_000
-
-
-def _stars(pairs: Iterator[tuple[str, str]]) -> dict[str, str]:
-    """Node → smallest node of its component, by union-find."""
-    parent: dict[str, str] = {}
-
-    def root(node: str) -> str:
-        while parent[node] != node:
-            parent[node] = parent[parent[node]]
-            node = parent[node]
-        return node
-
-    for u, v in pairs:
-        parent.setdefault(u, u)
-        parent.setdefault(v, v)
-        a, b = root(u), root(v)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    return {node: root(node) for node in parent}
-
-
-def _contract(edges: DataFrame, keys: list[str], group_edges: int) -> DataFrame:
-    """Edges replaced by stars within each group of at most about ``group_edges`` edges:
-    ``keys, u, v, large``. A graph that fits one group is finished by this; a larger one is spread
-    by a salt over as many groups as it needs and marked ``large``."""
-    large = (edges.groupBy(*keys).agg(F.count("*").alias("_n"))
-             .filter(F.col("_n") > group_edges)
-             .select(*keys, F.ceil(F.col("_n") / group_edges).alias("_parts")))
-    sized = edges.join(large, keys, "left").select(
-        *keys, "u", "v", F.col("_parts").isNotNull().alias("large"),
-        F.coalesce(F.pmod(F.xxhash64("u"), F.col("_parts")), F.lit(0)).alias("_salt"))
-    group = [*keys, "_salt"]
-    spread = sized.repartition(*group).sortWithinPartitions(*group)
-    columns = [*keys, "u", "v", "large"]
-
-    def contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
 
-        def finish() -> pd.DataFrame:
-            rows = pd.concat(held) if len(held) > 1 else held[0]
-            cut = np.zeros(len(rows), dtype=bool)
-            for name in group:
-                values = rows[name].to_numpy()
-                cut[1:] |= values[1:] != values[:-1]
-            starts = [0, *np.flatnonzero(cut), len(rows)]
-            us, vs = rows["u"].to_numpy(), rows["v"].to_numpy()
-            at, nodes, roots = [], [], []
-            for start, stop in zip(starts, starts[1:]):
-                for node, low in _stars(zip(us[start:stop], vs[start:stop])).items():
-                    if node != low:
-                        at.append(start)
-                        nodes.append(node)
-                        roots.append(low)
-            return rows.iloc[at].assign(u=nodes, v=roots)[columns]
+def component_labels(edges: DataFrame, keys: list[str] | None = None,
+                     max_rounds: int = 100) -> DataFrame:
+    """``keys, node, component`` of the nodes of undirected ``edges(keys, u, v)``; the component is
+    its smallest node. Nodes are of any orderable type.
 
-        for batch in batches:
-            if batch.empty:
-                continue
-            last = (batch[group] == batch[group].iloc[-1]).all(axis=1).to_numpy()
-            tail = len(batch) - int(np.argmin(last[::-1])) if not last.all() else 0
-            if tail == 0:
-                if held and not (held[-1][group].iloc[-1] == batch[group].iloc[0]).all():
-                    yield finish()
-                    held = []
-                held.append(batch)
-                continue
-            held.append(batch.iloc[:tail])
-            yield finish()
-            held = [batch.iloc[tail:]]
-        if held:
-            yield finish()
-
-    types = dict(edges.dtypes)
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "u string", "v string",
-                        "large boolean"])
-    return spread.mapInPandas(contract, schema)
-
-
-def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str],
-                         group_edges: int = EDGES_PER_GROUP) -> DataFrame:
-    """``keys, node, component`` for ``nodes(keys, node)`` and undirected ``edges(keys, u, v)``.
-
-    Graphs of measured small size are solved in one pass, grouped by key. Larger graphs are
-    contracted group by group in the same pass and then go through alternating large-star /
-    small-star rounds (Kiveris et al., 2014): every round replaces the edges by edges to the
-    smallest neighbour seen, so long chains take logarithmically many rounds. A round is two
-    ``min`` aggregates, combined map-side, and two joins against one row per node. The loop ends
-    when the edges are stars; only that count reaches the driver.
+    Alternating large-star / small-star rounds (Kiveris et al., 2014): every round replaces the
+    edges by edges to the smallest neighbour seen, so long chains take logarithmically many rounds.
+    A round is two ``min`` aggregates, combined map-side, and two joins against one row per node,
+    whose large nodes adaptive execution splits. Rounds write to the shared scratch folder. The
+    loop ends when the edges are stars; only that count reaches the driver.
     """
+    keys = keys or []
     key_u = [*keys, "u"]
 
     def large_star(e: DataFrame) -> DataFrame:
         both = e.select(*key_u, "v").unionByName(
             e.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(*key_u).agg(F.least(F.min("v"), F.first("u")).alias("_low"))
+        low = both.groupBy(*key_u).agg(F.min(F.least("u", "v")).alias("_low"))
         return (both.filter("v > u").join(low, key_u)
                 .select(*keys, F.col("v").alias("u"), F.col("_low").alias("v")))
 
     def small_star(e: DataFrame) -> DataFrame:
-        down = e.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        down = e.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         low = down.groupBy(*key_u).agg(F.min("v").alias("_low"))
         moved = down.join(low, key_u).select(*keys, F.inline(F.array(
             F.struct(F.col("u").alias("u"), F.col("_low").alias("v")),
@@ -130,16 +46,23 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str],
                                                     F.max("centre").alias("centre"))
         return per_node.filter("leaf > 1 or (leaf > 0 and centre > 0)").count()
 
-    contracted = materialize(_contract(edges.filter("u <> v"), keys, group_edges))
-    finished = contracted.filter("NOT large").select(*key_u, "v")
-    current = contracted.filter("large").select(*key_u, "v")
-    for _round in range(MAX_ROUNDS):
+    current = materialize(edges.filter("u <> v").select(
+        *keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    for _round in range(max_rounds):
         if not unsettled(current):
             break
-        current = materialize(small_star(materialize(large_star(current))))
+        current = materialize(small_star(large_star(current)))
     else:
-        raise RuntimeError("components did not settle")
-    stars = finished.unionByName(current).select(
-        *keys, F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.join(stars, [*keys, "node"], "left").select(
+        raise RuntimeError("components did not settle; allow more rounds")
+    centres = current.select(*keys, F.col("v").alias("node"), F.col("v").alias("component"))
+    leaves = current.select(*keys, F.col("u").alias("node"), F.col("v").alias("component"))
+    return leaves.unionByName(centres.distinct())
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str],
+                         max_rounds: int = 100) -> DataFrame:
+    """``keys, node, component`` for ``nodes(keys, node)`` and undirected ``edges(keys, u, v)``;
+    a node without edges is its own component."""
+    labels = component_labels(edges, keys, max_rounds)
+    return nodes.join(labels, [*keys, "node"], "left").select(
         *keys, "node", F.coalesce("component", "node").alias("component"))

@@ -138,9 +138,7 @@ def test_path_depth_counts_nodes(spark):
     assert [r["path"] for r in found.collect()] == [["a", "b"]]
 
 
-@pytest.mark.parametrize("group_edges,batch", [(1_000_000, 10_000), (1_000_000, 7), (4, 3)])
-def test_components_against_brute_force(spark, group_edges, batch):
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+def test_components_against_brute_force(spark):
     rng = random.Random(5)
     chain = [("m1", f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)]
     loose = [(f"m{rng.randint(2, 4)}", f"k{rng.randint(0, 30):02d}", f"k{rng.randint(0, 30):02d}")
@@ -153,11 +151,8 @@ def test_components_against_brute_force(spark, group_edges, batch):
             label[m, a] = label[m, b] = min(label[m, a], label[m, b])
     got = connected_components(
         spark.createDataFrame(sorted(nodes), "m string, node string"),
-        spark.createDataFrame(edges, "m string, u string, v string"), ["m"], group_edges)
-    try:
-        assert {(r["m"], r["node"]): r["component"] for r in got.collect()} == label
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.createDataFrame(edges, "m string, u string, v string"), ["m"])
+    assert {(r["m"], r["node"]): r["component"] for r in got.collect()} == label
 
 
 def test_triples(spark):
