@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from semgraph.llm import pieces
+from semgraph.llm import benchmark, lines, pieces, simhash
 
-MODULES = (pieces,)
+MODULES = (lines, simhash, pieces, benchmark)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.queries.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.QUERIES.sql.items()}
