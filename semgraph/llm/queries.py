@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from semgraph.llm import benchmark, lines, pieces, simhash
+import corpus_pipeline
+from semgraph.llm import (benchmark, licences, lines, pages, personal, pieces, quality, simhash,
+                          urls)
 
-MODULES = (lines, simhash, pieces, benchmark)
+MODULES = (lines, licences, simhash, pieces, benchmark, urls, quality, personal, pages)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.queries.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.QUERIES.sql.items()}
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

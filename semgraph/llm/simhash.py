@@ -233,9 +233,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     same = telling.join(by_print.withColumnRenamed("node", "v"), "fp").filter("node <> v").select(
         F.col("node").alias("u"), "v")
     pairs = materialize(by_band.unionByName(far).unionByName(same).distinct())
-    body = docs.select("doc_id", "text").filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text"))
     asked = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    held = materialize(body.join(asked, "doc_id", "left_semi"))
+    held = materialize(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
     compared = (pairs.join(held.toDF("u", "tu"), "u").join(held.toDF("v", "tv"), "v")
                 .select("u", "v", jaccard(F.col("tu"), F.col("tv"), width).alias("share")))
     labels = component_labels(compared.filter(F.col("share") >= similarity).select("u", "v"))
