@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semgraph.llm.common import LOWER, SPACES, UPPER, Queries, ascii_lower, digest, free_name, table
+from semgraph.session import materialize
 
 QUERIES = Queries()
 
@@ -34,9 +35,10 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> D
         "doc_id", "body", "pos", line_key(F.col("line")).alias("key"))
     hashed = keyed.filter(F.char_length("key") >= min_chars).select(
         "doc_id", "body", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
-    common = (hashed.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2")
-              .agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
-              .filter(F.col("n") >= min_docs).select("h1", "h2", "keeper"))
+    # stored, so that the join reads plain shuffles, of which adaptive execution splits hot hashes
+    common = materialize(hashed.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2")
+                         .agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
+                         .filter(F.col("n") >= min_docs).select("h1", "h2", "keeper"))
     return (hashed.join(common, ["h1", "h2"]).filter("doc_id <> keeper")
             .groupBy("doc_id", "body").agg(F.collect_set("pos").alias("drop")))
 
