@@ -38,9 +38,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``documents`` with ``ids`` (end id included), ``n_tokens`` and the text decoded from the ids."""
-    coded = pieces.encode_documents(docs)
-    return coded.withColumn("decoded", pieces.decode(F.col(coded.columns[-2])))
+    """``documents`` with ``ids`` (end id included), ``n_tokens`` and ``decoded``, the text of the ids."""
+    return pieces.encode_documents(docs)
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("simhash_dedup", simhash_dedup),

@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 # Chunks that a worker remembers; with more it starts anew, which costs time and no exactness.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 # Characters whose chunks are looked up together.
 PORTION = 1_000_000
 
@@ -192,8 +193,19 @@ def _pieces(path: str) -> Pieces:
     return _LOADED[path]
 
 
-def _strings(column: pa.Array) -> list[str]:
-    return [t or "" for t in column.to_pylist()]
+def _portions(column: pa.Array) -> Iterator[list[str]]:
+    """Texts of a batch, about ``PORTION`` bytes at a time; null counts as empty."""
+    sizes = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))
+    cuts = np.unique(np.searchsorted(sizes, np.arange(PORTION, int(sizes[-1]) if len(sizes) else 0, PORTION)) + 1)
+    for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(column)]):
+        if end > start:
+            yield [t or "" for t in column.slice(start, end - start).to_pylist()]
+
+
+def _lists(parts: list[bytes]) -> pa.Array:
+    """One list of int32 for each string of bytes."""
+    offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
 def encode(text: Column, model: str | None = None, add_end: bool = True) -> Column:
@@ -208,13 +220,29 @@ def encode(text: Column, model: str | None = None, add_end: bool = True) -> Colu
     def ids_of(column: pa.Array) -> pa.Array:
         pieces = _pieces(path)
         end = np.array([pieces.library.eos_id()] * add_end, np.int32).tobytes()
-        parts = [ids + end for ids in pieces.all_ids(_strings(column))]
-        offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets),
-                                        pa.array(np.frombuffer(b"".join(parts), np.int32)))
+        return pa.concat_arrays([_lists([]), *(_lists([ids + end for ids in pieces.all_ids(texts)])
+                                               for texts in _portions(column))])
     return ids_of.asNondeterministic()(text)
 
 
+def round_trip(text: Column, model: str | None = None) -> Column:
+    """``struct<ids, decoded>``: ``encode`` with an end id, and the text that ``decode`` makes of the
+    ids, both in one pass of the task."""
+    path = model or default_model()
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def both(column: pa.Array) -> pa.Array:
+        pieces = _pieces(path)
+        end = np.array([pieces.library.eos_id()], np.int32).tobytes()
+        ids, decoded = [_lists([])], [pa.array([], pa.string())]
+        for texts in _portions(column):
+            coded = [part + end for part in pieces.all_ids(texts)]
+            ids.append(_lists(coded))
+            decoded.append(pa.array([pieces.text_of(np.frombuffer(c, np.int32)) for c in coded], pa.string()))
+        return pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(decoded)], names=["ids", "decoded"])
+    return both.asNondeterministic()(text)
+
+
 def decode(ids: Column, model: str | None = None) -> Column:
     """Text of the ids as the library's ``decode(ids)`` gives it; null counts as no ids."""
     path = model or default_model()
@@ -237,10 +265,8 @@ def prefix_counts(text: Column, model: str | None = None) -> Column:
     @F.arrow_udf("array<int>")
     def counts_of(column: pa.Array) -> pa.Array:
         pieces = _pieces(path)
-        parts = [counts.astype(np.int32) for counts in pieces.all_counts(_strings(column))]
-        offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets),
-                                        pa.array(np.concatenate([*parts, np.zeros(0, np.int32)])))
+        return pa.concat_arrays([_lists([]), *(_lists([c.astype(np.int32).tobytes() for c in pieces.all_counts(texts)])
+                                               for texts in _portions(column))])
     return counts_of.asNondeterministic()(text)
 
 
@@ -253,7 +279,7 @@ def token_count(text: Column, budget: int, model: str | None = None) -> Column:
     def answers(column: pa.Array) -> pa.Array:
         pieces = _pieces(path)
         whole, fit = [], []
-        for counts in pieces.all_counts(_strings(column)):
+        for counts in (c for texts in _portions(column) for c in pieces.all_counts(texts)):
             whole.append(int(counts[-1]))
             fit.append(int(np.flatnonzero(counts <= budget)[-1]))
         return pa.StructArray.from_arrays([pa.array(whole, pa.int64()), pa.array(fit, pa.int64())],
@@ -262,20 +288,20 @@ def token_count(text: Column, budget: int, model: str | None = None) -> Column:
 
 
 def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """All columns of ``docs`` with ``ids`` and ``n_tokens`` appended, an end id included.
+    """All columns of ``docs`` with ``ids`` (an end id included), ``n_tokens`` and ``decoded`` appended.
 
     A null text counts as empty; columns of those names get underscores before the new ones.
     """
-    ids, n = free_name(docs.columns, "ids"), free_name(docs.columns, "n_tokens")
-    return docs.withColumn(ids, encode(F.col("text"), model)).withColumn(
-        n, F.size(ids).cast("long"))
+    ids, n, decoded, both = (free_name(docs.columns, name) for name in ("ids", "n_tokens", "decoded", "round_trip"))
+    coded = docs.withColumn(both, round_trip(F.col("text"), model))
+    return coded.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{both}`.ids").alias(ids),
+                        F.size(f"`{both}`.ids").cast("long").alias(n), F.col(f"`{both}`.decoded").alias(decoded))
 
 
 @QUERIES.add("op4_sentencepiece")
 def op4(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    coded = docs.select("doc_id", encode(F.col("text")).alias("ids"))
-    both = coded.select("doc_id", "ids", decode(F.col("ids")).alias("decoded"))
+    both = docs.select("doc_id", round_trip(F.col("text")).alias("r")).select("doc_id", "r.*")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
                        digest(F.col("decoded")).alias("decoded_sha256"))
