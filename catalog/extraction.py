@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from catalog.base import Catalog, props_text, read
 from semgraph.operators.extract import (default_rules, entity_id_col, entity_type_col, extract,
                                         extract_with, fk_relations, infer_entity_types,
                                         map_properties, nested_relations, project_properties,
-                                        sample_rows, suggest_entity_type)
+                                        suggest_entity_type)
 from semgraph.operators.validate import (split_valid, unique_violations, validate_entities,
                                          validate_relations, validate_rows)
 from semgraph.sources.ontology import Ontology
@@ -50,11 +52,6 @@ ONTOLOGY = Ontology.from_dict({
 })
 
 
-@CATALOG.add("extract_sample_rows")
-def sampled(spark, sf):
-    return sample_rows(read(spark, sf, "events")).select("event_id", "event_type")
-
-
 @CATALOG.add("extract_entity_types", """
     SELECT CASE WHEN user_id <> 0 THEN 'User' ELSE 'Entity' END AS type, COUNT(*) AS n
     FROM events GROUP BY 1""")
@@ -81,7 +78,7 @@ def suggested_types(spark, sf):
 
 @CATALOG.add("extract_entity_ids", """
     SELECT event_id, 'Event:' || md5('event_id=' || event_id || chr(30) || 'event_type=' ||
-               event_type || chr(30) || 'user_id=' || user_id)[1:8] AS graph_id,
+               event_type || chr(30) || 'user_id=' || user_id) AS graph_id,
            'Event:event_id_' || event_id AS fallback_id, 'Event:event_id_' || event_id AS template_id,
            'Event:' || event_type AS typed_id
     FROM events""")
@@ -181,28 +178,29 @@ def nested(spark, sf):
                                            props_text().alias("props"))
 
 
-USER_FUNCTION = '''
-def extract_entities_and_relations(row, rules):
-    import re
+def first_word(row: dict, rules: dict) -> tuple[list[dict], list[dict]]:
+    """A turn and the relation to its first word; scores of turns the labels miss are null."""
     words = re.findall(r"[A-Za-z]+", row["text"] or "")
+    turn = f"{rules['prefix']}{row['conv_id']}/{row['turn']}"
     if not words:
         return [], []
-    turn = rules["prefix"] + str(row["conv_id"]) + "/" + str(row["turn"])
-    entity = {"type": "Turn", "id": turn, "properties": {"role": row["role"]}}
-    relation = {"type": "STARTS_WITH", "source_id": turn, "target_id": "Word:" + words[0].lower(),
-                "source_type": "Turn", "target_type": "Word"}
-    return [entity], [relation]
-'''
+    key = "none" if row["score"] is None else str(row["score"])
+    return ([{"type": "Turn", "id": turn, "properties": {"role": row["role"], "score": key}}],
+            [{"type": "STARTS_WITH", "source_id": turn, "target_id": "Word:" + words[0].lower(),
+              "source_type": "Turn", "target_type": "Word", "score": key}])
 
 
 @CATALOG.add("extract_user_function", """
     SELECT 'Turn:' || conv_id || '/' || turn AS source_id,
-           'Word:' || lower(regexp_extract(text, '[A-Za-z]+')) AS target_id
+           'Word:' || lower(regexp_extract(text, '[A-Za-z]+')) AS target_id,
+           coalesce((9007199254740993 + CASE WHEN turn % 2 = 0 THEN turn END)::VARCHAR, 'none') AS score
     FROM conversations WHERE regexp_extract(text, '[A-Za-z]+') <> ''""")
 def user_function(spark, sf):
-    turns = read(spark, sf, "conversations")
-    return extract_with(turns, USER_FUNCTION, {"prefix": "Turn:"}).relations.select(
-        "source_id", "target_id")
+    """A nullable whole number beyond 2^53 keeps its digits."""
+    turns = read(spark, sf, "conversations").withColumn(
+        "score", F.when(F.col("turn") % 2 == 0, F.col("turn") + F.lit(9007199254740993)))
+    return extract_with(turns, first_word, {"prefix": "Turn:"}).relations.select(
+        "source_id", "target_id", F.element_at("props", "score").alias("score"))
 
 
 ORDER_RULES = {"entity_type_mapping": {"id": "Order"}}

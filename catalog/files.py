@@ -14,7 +14,7 @@ from semgraph.plans.ingest import build_graph, ingest
 from semgraph.session import scratch_dir
 from semgraph.sources.graph_tables import read_graph, write_graph
 from semgraph.sources.models import explode_model, read_models
-from semgraph.sources.records import list_files, preview_files, read_records
+from semgraph.sources.records import preview_files, read_records
 
 CATALOG = Catalog()
 
@@ -41,8 +41,7 @@ def csv_records(spark, sf):
 def json_records(spark, sf):
     path = fresh(spark, "json")
     read(spark, sf, "events").write.json(path)
-    rows = read_records(spark, path, "json", schema="event_id long, event_type string, value double",
-                        multiLine=False)
+    rows = read_records(spark, path, "json")
     return rows.groupBy("event_type").agg(F.count("*").alias("n"),
                                           F.round(F.sum("value"), 2).alias("total"))
 
@@ -59,33 +58,43 @@ def xml_records(spark, sf):
 @CATALOG.add("records_text", """
     SELECT p_name AS line, COUNT(*) AS n FROM part GROUP BY 1""")
 def text_records(spark, sf):
-    """Part names as text files; each file comes back as one record and is split again."""
+    """Part names as lines of text files."""
     path = fresh(spark, "text")
-    read(spark, sf, "part").select(F.col("p_name").alias("value")).repartition(8).write.text(path)
-    rows = read_records(spark, path, "text").select(F.explode(F.split("content", "\n")).alias("line"))
+    read(spark, sf, "part").select(F.col("p_name").alias("value")).write.text(path)
+    rows = read_records(spark, path, "text").withColumnRenamed("content", "line")
     return rows.filter("line <> ''").groupBy("line").agg(F.count("*").alias("n"))
 
 
-@CATALOG.add("files_listing")
-def listing(spark, sf):
-    return list_files(spark, sf)
+@CATALOG.add("records_mixed", """
+    SELECT 'csv' AS kind, COUNT(*) AS n, CAST(SUM(c_custkey) AS BIGINT) AS keys FROM customer
+    UNION ALL SELECT 'json', COUNT(*), SUM(o_orderkey)::BIGINT FROM orders
+    UNION ALL SELECT 'txt', COUNT(*), NULL FROM part""")
+def mixed_records(spark, sf):
+    """One folder with files of three formats comes back whole."""
+    path = fresh(spark, "mixed")
+    read(spark, sf, "customer").select("c_custkey").write.option("header", True).csv(f"{path}/a")
+    read(spark, sf, "orders").select("o_orderkey").write.json(f"{path}/b")
+    read(spark, sf, "part").select(F.col("p_name").alias("value")).write.text(f"{path}/c")
+    rows = read_records(spark, path)
+    return rows.groupBy(F.regexp_extract("source", r"\.([a-z]+)$", 1).alias("kind")).agg(
+        F.count("*").alias("n"), F.sum(F.coalesce(F.col("c_custkey").cast("long"), F.col("o_orderkey"))).alias("keys"))
 
 
 @CATALOG.add("files_preview", """
-    SELECT 50 AS longest, 0 AS unknown, TRUE AS gapless FROM orders LIMIT 1""")
+    SELECT o_orderpriority AS priority, least(50, COUNT(*)) AS n_lines, TRUE AS known, TRUE AS gapless
+    FROM orders GROUP BY 1""")
 def preview(spark, sf):
-    """The first fifty lines of each line file of orders; every one is a line of the table."""
+    """The first fifty lines of files with the orders of each priority; every one is a line of the table."""
     path = fresh(spark, "lines")
-    orders = read(spark, sf, "orders").select(
-        F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("value"))
-    orders.repartition(8).write.text(path)
+    orders = read(spark, sf, "orders").select("o_orderpriority", F.concat_ws(
+        ",", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("value"))
+    orders.repartition("o_orderpriority").write.partitionBy("o_orderpriority").text(path)
     lines = preview_files(spark, path)
     known = orders.select(F.col("value").alias("line"), F.lit(True).alias("known"))
-    per_file = lines.join(known, "line", "left").groupBy("path").agg(
-        F.max("line_number").alias("longest"), F.count("*").alias("n"),
-        F.count_if(F.col("known").isNull()).alias("unknown"))
-    return per_file.agg(F.max("longest").alias("longest"), F.sum("unknown").alias("unknown"),
-                        F.bool_and(F.col("longest") == F.col("n")).alias("gapless"))
+    return lines.join(known, "line", "left").groupBy(
+        F.regexp_extract("line", ",(.*)$", 1).alias("priority")).agg(
+        F.max("line_number").alias("n_lines"), F.bool_and(F.coalesce("known", F.lit(False))).alias("known"),
+        (F.max("line_number") == F.count("*")).alias("gapless"))
 
 
 @CATALOG.add("files_models", """

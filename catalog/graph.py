@@ -303,7 +303,7 @@ def one_entity(spark, sf):
 
 @CATALOG.add("graph_query_entities", f"""
     WITH {ENT} SELECT id, props FROM ent WHERE type = 'Customer' AND segment = 'MACHINERY'
-    ORDER BY id LIMIT 100""")
+    ORDER BY id""")
 def entities_by_filter(spark, sf):
     entities, _r = whole_graph(spark, sf)
     found = query_entities(entities, "Customer", {"segment": "MACHINERY"}, workspace="retail")
@@ -312,7 +312,7 @@ def entities_by_filter(spark, sf):
 
 @CATALOG.add("graph_search_text", f"""
     WITH {ENT} SELECT id FROM ent WHERE ws = 'retail' AND (name ILIKE '%00001%' OR id ILIKE '%00001%')
-    ORDER BY id LIMIT 100""")
+    ORDER BY id""")
 def search_text(spark, sf):
     entities, _r = whole_graph(spark, sf)
     return search_entities(entities, "00001", workspace="retail").select("id")
@@ -328,7 +328,7 @@ def search_exact(spark, sf):
 
 @CATALOG.add("graph_query_relations", f"""
     WITH {REL} SELECT s AS source_id, t AS target_id FROM rel
-    WHERE type = 'HAS_NATION' AND t = 'Nation:3' ORDER BY s LIMIT 100""")
+    WHERE type = 'HAS_NATION' AND t = 'Nation:3' ORDER BY s""")
 def relations_by_filter(spark, sf):
     _e, relations = whole_graph(spark, sf)
     return query_relations(relations, "HAS_NATION", target_id="Nation:3", workspace="retail").select(
@@ -425,7 +425,7 @@ def every_path(spark, sf):
     WITH RECURSIVE {GRAPH}, hops AS (SELECT DISTINCT rel.ws, s, t FROM rel JOIN ent
                                      ON ent.ws = rel.ws AND ent.id = t), {PATHS.format(3)}
     SELECT array_to_string(path, '>') AS path, len(path) - 1 AS length FROM paths
-    WHERE src = 'Order:5' ORDER BY length, path LIMIT 100""")
+    WHERE src = 'Order:5' ORDER BY length, path""")
 def paths_from(spark, sf):
     """Dispatch of a path question."""
     entities, relations = whole_graph(spark, sf)

@@ -815,7 +815,7 @@ def drift_of_definition(spark, sf):
 
 @CATALOG.add("drift_log", """
     SELECT event_id, user_id AS model_id, event_type, ts FROM events
-    WHERE user_id = 7 AND value >= 5 ORDER BY ts DESC, event_id LIMIT 100""")
+    WHERE user_id = 7 AND value >= 5 ORDER BY ts DESC, event_id""")
 def drift_log(spark, sf):
     log = read(spark, sf, "events").select(
         "event_id", F.col("user_id").alias("model_id"), "event_type", "ts",

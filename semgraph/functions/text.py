@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from bisect import bisect_right
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,35 +29,44 @@ def estimate_tokens(col: Column) -> Column:
     return F.floor(F.length(col) / 4).cast("long")
 
 
-def _chunks(text: str, chunk_size: int, overlap: int) -> list[str]:
-    if len(text) <= chunk_size:
-        return [text]
-    pieces, start = [], 0
-    while start < len(text):
-        end = start + chunk_size
-        if end < len(text):
-            hits = ((mark, text.rfind(mark, start, end)) for mark in SENTENCE_ENDS)
-            end = next((at + len(mark) for mark, at in hits if at != -1), end)
-        piece = text[start:end].strip()
-        if piece:
-            pieces.append(piece)
-        start = max(end - overlap, start + 1)
-    return pieces
+def chunk_bounds(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Start and end of each chunk.
+
+    The places behind all sentence ends are listed once, by kind. A chunk ends at the last place,
+    of the first kind that has one, that lies beyond the overlap and inside the chunk's size, else
+    at the full size; so every chunk takes the text further, and the one that reaches the end of the
+    text is the last.
+    """
+    places = {mark: [m.end() for m in re.finditer(re.escape(mark), text)] for mark in SENTENCE_ENDS}
+    bounds = [(0, len(text))] if len(text) <= size else []
+    start = 0
+    while not bounds or bounds[-1][1] < len(text):
+        full = start + size
+        inside = [known[bisect_right(known, full) - 1] for known in places.values()
+                  if bisect_right(known, full) > bisect_right(known, start + overlap)]
+        end = len(text) if full >= len(text) else inside[0] if inside else full
+        bounds.append((start, end))
+        start = end - overlap
+    return bounds
 
 
 def chunk_text(df: DataFrame, col: str, chunk_size: int = 1000, overlap: int = 200) -> DataFrame:
     """One row per overlapping chunk, snapped to a sentence end, with ``chunk_index`` and
-    ``total_chunks``.
+    ``total_chunks``; white space at both ends of a chunk is cut and empty chunks are left out.
 
-    Only the text column travels to Python, in Arrow batches. A boundary inside the overlap moves
-    the start on by one character at least.
+    Only the text column travels to Python, in Arrow batches.
     """
-    @F.pandas_udf("array<string>")
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: None if t is None else _chunks(t, chunk_size, overlap))
+    if not 0 <= overlap < chunk_size:
+        raise ValueError("the overlap must be smaller than a chunk")
+
+    @F.arrow_udf("array<string>")
+    def split(column: pa.Array) -> pa.Array:
+        cut = [None if t is None else [t] if len(t) <= chunk_size else [
+            piece for a, b in chunk_bounds(t, chunk_size, overlap) if (piece := t[a:b].strip())]
+            for t in column.to_pylist()]
+        return pa.array(cut, pa.list_(pa.string()))
 
-    chunks = df.withColumn("_chunks", split(F.col(col)))
+    chunks = df.withColumn("_chunks", split.asNondeterministic()(F.col(col)))
     others = [c for c in df.columns if c != col]
     return chunks.select(
         *others, F.size("_chunks").alias("total_chunks"),
@@ -65,9 +75,9 @@ def chunk_text(df: DataFrame, col: str, chunk_size: int = 1000, overlap: int = 2
 
 
 def document_mentions(df: DataFrame, content: str = "content", id_col: str = "id",
-                      source_col: str = "source") -> DataFrame:
-    """``MENTIONS`` relation from each document to ``Entity:extracted`` with the first 200
-    characters as context."""
+                      source_col: str = "source", context: int | None = None) -> DataFrame:
+    """``MENTIONS`` relation from each document to ``Entity:extracted`` with its text as context, or
+    its first ``context`` characters."""
     present = [F.when(F.col(c).cast("string") != "", F.col(c).cast("string"))
                for c in (id_col, source_col) if c in df.columns]
     doc = F.coalesce(*present, F.lit("unknown"))
@@ -76,5 +86,5 @@ def document_mentions(df: DataFrame, content: str = "content", id_col: str = "id
         F.when(doc.startswith("Document:"), doc)
         .otherwise(F.concat(F.lit("Document:"), doc)).alias("source_id"),
         F.lit("Entity:extracted").alias("target_id"),
-        F.substring(content, 1, 200).alias("context"),
+        (F.col(content) if context is None else F.substring(content, 1, context)).alias("context"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semgraph.session import materialize
@@ -21,7 +21,7 @@ def get_entity(entities: DataFrame, entity_id: str, workspace: str | None = None
 
 
 def query_entities(entities: DataFrame, entity_type: str | None = None,
-                   filters: dict[str, str] | None = None, limit: int | None = 100,
+                   filters: dict[str, str] | None = None, limit: int | None = None,
                    workspace: str | None = None) -> DataFrame:
     """Entities by type and property equality, lowest ids first."""
     rows = in_workspace(entities, workspace)
@@ -32,29 +32,24 @@ def query_entities(entities: DataFrame, entity_type: str | None = None,
     return rows if limit is None else rows.orderBy("workspace_id", "id").limit(limit)
 
 
-def search_entities(entities: DataFrame, text: str, limit: int = 100,
+def search_entities(entities: DataFrame, text: str, limit: int | None = None,
                     workspace: str | None = None) -> DataFrame:
-    """The entity with that id, else entities whose text holds it, ignoring case.
-
-    One scan with a top-k; the exact hit sorts first, so whether there is one is decided on the
-    top-k rows alone.
-    """
+    """The entity with that id, else entities whose text holds it, ignoring case; ``limit`` takes the
+    lowest ids. Whether there is an exact hit is a scalar aggregate beside the scan."""
     needle = F.lit(text.lower())
-    exact = F.col("id") == text
+    rows = in_workspace(entities, workspace)
     held: Column = F.exists(F.map_values("props"), lambda v: F.lower(v).contains(needle))
     for c in ("id", "type", "workspace_id"):
         held = held | F.lower(c).contains(needle)
-    found = (in_workspace(entities, workspace).withColumn("_exact", exact)
-             .filter(F.col("_exact") | held)
-             .orderBy(F.desc("_exact"), "workspace_id", "id").limit(limit))
-    any_exact = F.max("_exact").over(Window.partitionBy(F.lit(1)))
-    return (found.withColumn("_any", any_exact).filter(F.col("_exact") | ~F.col("_any"))
-            .drop("_exact", "_any"))
+    hit = rows.filter(F.col("id") == text)
+    hits = hit.agg(F.count("*")).scalar()
+    found = hit.unionByName(rows.filter(held & (F.col("id") != text) & (hits == 0)))
+    return found if limit is None else found.orderBy("workspace_id", "id").limit(limit)
 
 
 def query_relations(relations: DataFrame, relation_type: str | None = None,
                     source_id: str | None = None, target_id: str | None = None,
-                    limit: int | None = 100, workspace: str | None = None) -> DataFrame:
+                    limit: int | None = None, workspace: str | None = None) -> DataFrame:
     rows = in_workspace(relations, workspace)
     for column, value in (("type", relation_type), ("source_id", source_id),
                           ("target_id", target_id)):
@@ -153,7 +148,7 @@ def shortest_path(relations: DataFrame, src: str, dst: str, max_depth: int = 3,
 
 
 def all_paths(relations: DataFrame, sources: DataFrame | list[str], max_depth: int = 3,
-              limit: int | None = 100, entities: DataFrame | None = None,
+              limit: int | None = None, entities: DataFrame | None = None,
               workspace: str | None = None) -> DataFrame:
     """All simple directed paths from the sources with up to ``max_depth`` nodes, shortest first."""
     hops = _hops(relations, entities, workspace)
@@ -215,7 +210,8 @@ def list_types(entities: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def graph_query(entities: DataFrame, relations: DataFrame, text: str, kind: str = "entity",
-                workspace: str = "default", max_depth: int = 3, limit: int = 100) -> DataFrame:
+                workspace: str = "default", max_depth: int = 3,
+                limit: int | None = None) -> DataFrame:
     """Route a query to the entity, relation, neighbor or path operator."""
     if kind == "entity":
         return search_entities(entities, text, limit, workspace)

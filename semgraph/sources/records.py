@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,41 +23,59 @@ FILE_TYPES = {
 }
 
 
+GLOBS = {"json": "*.json", "csv": "*.csv", "text": "*.txt", "xml": "*.xml"}
+
+
 def _extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
 
-def read_records(spark: SparkSession, path: str, fmt: str | None = None, row_tag: str = "row",
-                 schema: T.StructType | str | None = None, **options) -> DataFrame:
-    """Rows of json, csv, text or xml files with the file they came from in ``source``.
-
-    The format follows the path's extension unless given. JSON accepts arrays and objects spread
-    over lines (``multiLine``) as well as one object per line; pass ``multiLine=False`` for line
-    files too large for one task. A text file is one row with ``content``. Give a ``schema`` in
-    production: inference reads the files once more.
-    """
-    fmt = fmt or FILE_TYPES.get("." + path.rsplit(".", 1)[-1].lower()) or "json"
-    reader = spark.read
-    if schema is not None:
-        reader = reader.schema(schema)
-    glob = {"json": "*.json", "csv": "*.csv", "text": "*.txt", "xml": "*.xml"}.get(fmt)
-    single = path.rstrip("/").lower().endswith(tuple(FILE_TYPES))
-    if glob and not single:
-        reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+def _read_one(spark: SparkSession, path: str, fmt: str, row_tag: str,
+              schema: T.StructType | str | None, options: dict) -> DataFrame:
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    if not path.rstrip("/").lower().endswith(tuple(FILE_TYPES)):
+        reader = reader.option("pathGlobFilter", GLOBS[fmt]).option("recursiveFileLookup", "true")
     if fmt == "json":
-        df = reader.options(**{"multiLine": True, **options}).json(path)
+        df = reader.options(**options).json(path)
     elif fmt == "csv":
-        df = reader.options(**{"header": True, "multiLine": True, "escape": '"', **options}).csv(path)
+        df = reader.options(**{"header": True, "escape": '"', **options}).csv(path)
     elif fmt == "xml":
         df = reader.options(**{"rowTag": row_tag, **options}).xml(path)
-    elif fmt in ("text", "txt"):
-        df = reader.options(**options).text(path, wholetext=True).withColumnRenamed("value", "content")
     else:
-        raise ValueError(f"unsupported format {fmt!r}")
+        df = reader.text(path, **options).withColumnRenamed("value", "content")
     columns = [c for c in df.columns if c != "source"]
     return df.select(*[f"`{c}`" for c in columns], F.col("_metadata.file_path").alias("source"))
 
 
+def read_records(spark: SparkSession, path: str, fmt: str | None = None, row_tag: str = "row",
+                 schema: T.StructType | str | None = None, **options) -> DataFrame:
+    """Rows of json, csv, text or xml files with the file they came from in ``source``.
+
+    The format follows the path's extension unless given. A folder without a format gives the rows
+    of every format in it, united by column name; a file of any other kind there is an error that
+    names it. Files are read by lines, so that large ones are split over tasks: one JSON object, CSV
+    row or text line (``content``) each. Pass ``multiLine=True`` for JSON arrays and for values with
+    line feeds, ``wholetext=True`` for one row per text file; such files take one task each. Give a
+    ``schema`` in production: inference reads the files once more.
+    """
+    fmt = {"txt": "text"}.get(fmt, fmt) or FILE_TYPES.get("." + path.rsplit(".", 1)[-1].lower())
+    if fmt is not None:
+        if fmt not in GLOBS:
+            raise ValueError(f"unsupported format {fmt!r}")
+        return _read_one(spark, path, fmt, row_tag, schema, options)
+    kinds = list_files(spark, path).groupBy("type").agg(F.min("path").alias("path")).collect()
+    other = [r.path for r in kinds if r.type not in GLOBS]
+    if other or not kinds:
+        raise ValueError(f"no reader for {other}" if other else f"no files in {path}")
+    # options of one format would be unknown to the others, so only the common ones are passed
+    parts = [_read_one(spark, path, r.type, row_tag, None if r.type == "text" else schema, options)
+             for r in sorted(kinds)]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """Name, path, size, modification time, extension and type of every file, newest first. File
     contents are not read."""
@@ -71,18 +93,28 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 def preview_files(spark: SparkSession, path: str, max_lines: int = 50) -> DataFrame:
     """The first lines of every text file: ``path, line_number, line``.
 
-    Line files are read as lines and numbered per file by their byte order within the file's first
-    block, so a large file is not held in memory and only its head is kept.
-    """
+    Lines get their place within their split; the splits of a file follow by their start, so a head
+    that crosses splits is whole. Each task keeps at most ``max_lines`` lines of a split."""
     lines = (spark.read.option("recursiveFileLookup", "true").text(path)
              .select(F.col("_metadata.file_path").alias("path"),
-                     F.col("_metadata.file_block_start").alias("_block"),
-                     F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line")))
-    head = lines.filter("_block = 0").groupBy("path").agg(F.min("_row").alias("_first"))
-    numbered = lines.filter("_block = 0").join(head, "path").withColumn(
-        "line_number", F.col("_row") - F.col("_first") + 1)
-    return numbered.filter(F.col("line_number") <= max_lines).select(
-        "path", "line_number", "line")
+                     F.col("_metadata.file_block_start").alias("_block"), F.col("value").alias("line")))
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, number = None, 0
+        for batch in batches:
+            at = list(zip(batch["path"].to_pylist(), batch["_block"].to_pylist()))
+            numbers = []
+            for split in at:
+                number = number + 1 if split == held else 1
+                held = split
+                numbers.append(number)
+            kept = batch.append_column("_row", pa.array(numbers, pa.int64()))
+            yield kept.filter(pc.less_equal(kept["_row"], max_lines))
+
+    kept = lines.mapInArrow(heads, "path string, _block long, line string, _row long")
+    in_file = Window.partitionBy("path").orderBy("_block", "_row")
+    return (kept.withColumn("line_number", F.row_number().over(in_file))
+            .filter(F.col("line_number") <= max_lines).select("path", "line_number", "line"))
 
 
 def read_expectations(spark: SparkSession, path: str) -> DataFrame:

@@ -179,12 +179,23 @@ def test_graph_tables_prune_workspaces(spark, tmp_path):
 
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,t\n1,"x, y"\n2,"say ""hi"""\n')
-    (tmp_path / "b.json").write_text('[{"id": 1}, {"id": 2, "k": "v"}]')
+    (tmp_path / "b.json").write_text('[{"id": 1},\n {"id": 2, "k": "v"}]')
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "e.json").write_text('{"id": 1}\n{"id": 2}\n{"id": 3}\n')
+    (tmp_path / "lines" / "f.csv").write_text("id\n4\n5\n")
+    (tmp_path / "lines" / "g.txt").write_text("one\ntwo\n")
     (tmp_path / "c.txt").write_text("\n".join(f"l{i}" for i in range(80)))
     (tmp_path / "d.xml").write_text("<rows><row><id>1</id></row><row><id>2</id></row></rows>")
     assert [r["t"] for r in read_records(spark, str(tmp_path / "a.csv")).collect()] == ["x, y", 'say "hi"']
-    assert read_records(spark, str(tmp_path / "b.json")).count() == 2
-    assert read_records(spark, str(tmp_path), "text").first()["content"].startswith("l0\n")
+    assert read_records(spark, str(tmp_path / "b.json"), multiLine=True).count() == 2
+    assert read_records(spark, str(tmp_path / "lines" / "e.json")).count() == 3
+    mixed = read_records(spark, str(tmp_path / "lines"))
+    assert sorted((r["id"], r["content"]) for r in mixed.select(F.col("id").cast("string"), "content").na.fill("").collect()) == [
+        ("", "one"), ("", "two"), ("1", ""), ("2", ""), ("3", ""), ("4", ""), ("5", "")]
+    (tmp_path / "lines" / "h.pdf").write_text("x")
+    with pytest.raises(ValueError, match="h.pdf"):
+        read_records(spark, str(tmp_path / "lines"))
+    assert read_records(spark, str(tmp_path / "c.txt"), wholetext=True).first()["content"].startswith("l0\n")
     assert read_records(spark, str(tmp_path), "xml").count() == 2
     listed = {r["name"]: (r["type"], r["size"]) for r in list_files(spark, str(tmp_path)).collect()}
     assert listed["c.txt"][0] == "text" and listed["a.csv"] == ("csv", 29)

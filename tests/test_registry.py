@@ -281,6 +281,10 @@ def test_answers(spark):
                                    "Answer snippet not found: 'Total'",
                        3: "API call failed: down", 4: None, 5: None}
     assert list(regression_summary(results).first()) == [5, 3, 2, False, 6.0]
+    partial = evaluate_answers(expect, answers.withColumn("run", F.col("n") > 3), run=["run"])
+    silent = partial.filter("failure_reason = 'API call failed: No answer'").collect()
+    assert [(r["run"], r["question"]) for r in silent] == [(False, "free")]
+    assert not evaluate_answers(expect, answers.filter("n = 1")).filter("question = 'free'").first()["passed"]
 
 
 def test_cache_hits_at_the_ttl_boundary(spark):
