@@ -540,13 +540,15 @@ def gate_results(spark, sf):
 
 @CATALOG.add("gate_summary_strict", f"""{GATES}
     SELECT model_id, version_id, NOT bool_or(bad) AS overall_pass, COUNT(*) AS total_gates,
-      COUNT(*) FILTER (NOT bad) AS passed, COUNT(*) FILTER (bad) AS failed,
-      COUNT(*) FILTER (NOT bad AND category = 'semantic') AS semantic_passed
+      COUNT(*) FILTER (NOT bad) AS passed, COUNT(*) FILTER (bad) AS failed, 0 AS warnings, 0 AS skipped,
+      COUNT(*) FILTER (NOT bad AND category = 'structural') AS structural_passed,
+      COUNT(*) FILTER (NOT bad AND category = 'semantic') AS semantic_passed,
+      COUNT(*) FILTER (NOT bad AND category = 'deployability') AS deployability_passed
     FROM judged GROUP BY 1, 2""")
 def gates_summed(spark, sf):
     return gate_summary(evaluate_models(registry(spark, sf), "strict")).select(
-        "model_id", "version_id", "overall_pass", "total_gates", "passed", "failed",
-        "semantic_passed")
+        "model_id", "version_id", "overall_pass", "total_gates", "passed", "failed", "warnings", "skipped",
+        "structural_passed", "semantic_passed", "deployability_passed")
 
 
 # ---- quality, fingerprints, normal form -------------------------------------------------------
