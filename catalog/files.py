@@ -115,11 +115,11 @@ def model_files(spark, sf):
 
 
 @CATALOG.add("graph_tables", """
-    SELECT workspace_id, kind, COUNT(*) AS n FROM (
-      SELECT CASE WHEN c_acctbal >= 0 AND c_acctbal <= 9000 AND c_nationkey <> 3 AND c_nationkey <> 5
+    WITH c AS (SELECT CASE WHEN c_acctbal >= 0 AND c_acctbal <= 9000 AND c_nationkey <> 3 AND c_nationkey <> 5
                AND regexp_matches(c_mktsegment, '^[A-M]') AND c_mktsegment <> 'FURNITURE'
-             THEN 'good' ELSE 'other' END AS workspace_id, 'entity' AS kind FROM customer)
-    GROUP BY 1, 2""")
+             THEN 'good' ELSE 'other' END AS workspace_id FROM customer)
+    SELECT workspace_id, 'entity' AS kind, COUNT(*) AS n FROM c GROUP BY 1
+    UNION ALL SELECT workspace_id, 'relation', COUNT(*) FROM c GROUP BY 1""")
 def tables(spark, sf):
     """Validated customers written to workspaces by verdict, read back with their counts."""
     checked = validate_entities(customer_entities(spark, sf), ONTOLOGY, strict=True)
@@ -131,8 +131,9 @@ def tables(spark, sf):
         F.lit("IN").alias("type"))
     path = fresh(spark, "graph")
     write_graph(entities, relations, path, files_per_workspace=4)
-    back, _r = read_graph(spark, path)
-    return back.groupBy("workspace_id", F.lit("entity").alias("kind")).agg(F.count("*").alias("n"))
+    kinds = [df.select("workspace_id", F.lit(kind).alias("kind")) for kind, df in
+             zip(("entity", "relation"), read_graph(spark, path))]
+    return kinds[0].unionByName(kinds[1]).groupBy("workspace_id", "kind").agg(F.count("*").alias("n"))
 
 
 def order_records(spark, sf):
@@ -159,6 +160,22 @@ def ingested(spark, sf):
         counts.select(F.lit("tables").alias("part"), "entities", "relations"))
 
 
+@CATALOG.add("ingest_twice", """
+    SELECT 'entity' AS kind, 'Order:' || o_orderkey AS a, NULL AS b, o_orderstatus AS status FROM orders
+    UNION ALL SELECT 'relation', 'Order:' || o_orderkey, 'Customer:' || o_custkey, NULL FROM orders""")
+def ingested_twice(spark, sf):
+    """Two overlapping thirds and then the same again make the graph of one ingest of all."""
+    path, rows = fresh(spark, "twice"), order_records(spark, sf)
+    for part in (rows.filter("number % 3 <> 0"), rows.filter("number % 3 <> 1"), rows.filter("number % 3 <> 1")):
+        ingest(part, "retail", "number", path, ONTOLOGY, {"entity_type_mapping": {"id": "Order"}})
+    entities, relations = read_graph(spark, path)
+    none = F.lit(None).cast("string")
+    return entities.select(F.lit("entity").alias("kind"), F.col("id").alias("a"), none.alias("b"),
+                           F.element_at("props", "status").alias("status")).unionByName(
+        relations.select(F.lit("relation").alias("kind"), F.col("source_id").alias("a"),
+                         F.col("target_id").alias("b"), none.alias("status")))
+
+
 @CATALOG.add("ingest_strict", """
     SELECT 'entities' AS part, COUNT(*) AS n FROM customer WHERE c_acctbal BETWEEN 0 AND 9000
     UNION ALL SELECT 'rejected_entities', COUNT(*) FROM customer WHERE NOT c_acctbal BETWEEN 0 AND 9000

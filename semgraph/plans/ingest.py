@@ -2,30 +2,35 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semgraph.operators.extract import extract, map_properties
 from semgraph.operators.graph_build import (clean_relations, dedupe_entities, ingest_stats,
-                                            merge_relations)
+                                            merge_relations, pick_one, with_fingerprint)
 from semgraph.operators.validate import split_valid, validate_entities, validate_relations
-from semgraph.sources.graph_tables import write_graph
+from semgraph.session import materialize
+from semgraph.sources.graph_tables import read_graph, write_graph
 from semgraph.sources.ontology import Ontology
 
 
 def build_graph(records: DataFrame, workspace_id: str, order_col: str,
                 ontology: Ontology | None = None, rules: dict | None = None,
-                strict: bool = False) -> dict[str, DataFrame]:
+                strict: bool = False, store: bool = False) -> dict[str, DataFrame]:
     """Lazy plans of one ingest: ``entities``, ``relations``, ``rejected_entities``,
     ``rejected_relations`` and ``stats`` (one row).
 
     ``order_col`` decides which of several equal records is first. With ``strict`` invalid entities
     and relations are set aside; without it they are kept. Counts include duplicates, which are
-    merged rather than skipped.
+    merged rather than skipped. ``store`` writes what is extracted to the scratch folder, so that
+    tables and counts come from one extraction.
     """
     tagged = records.withColumn("workspace_id", F.lit(workspace_id)).withColumn(
         "seq", F.col(order_col).cast("long"))
     entities, relations = extract(tagged, rules, keep=("workspace_id", "seq"))
+    if store:
+        entities, relations = materialize(entities), materialize(relations)
     rejected_entities, rejected_relations = entities.limit(0), relations.limit(0)
     if ontology is not None:
         entities = map_properties(entities, ontology)
@@ -41,10 +46,40 @@ def build_graph(records: DataFrame, workspace_id: str, order_col: str,
     }
 
 
+def _stored_graph(records: DataFrame, path: str, workspace_id: str) -> tuple[DataFrame, DataFrame] | None:
+    """What the workspace holds, or None before the first ingest."""
+    try:
+        tables = read_graph(records.sparkSession, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return tuple(t.filter(F.col("workspace_id") == workspace_id) for t in tables)
+
+
+def merged_graph(old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Entities and relations of both: of equal properties the entity stored first stays, a new entity
+    replaces the one with its id, of equal relations the one stored first stays."""
+    waves = [df.withColumn("wave", F.lit(wave)) for wave, pair in enumerate((old, new)) for df in pair]
+    entities = with_fingerprint(waves[0].unionByName(waves[2]))
+    order = [F.col("wave"), F.col("seq"), F.col("id")]
+    first = pick_one(entities, ["workspace_id", "fingerprint"], order)
+    last = pick_one(first, ["workspace_id", "id"], order, first=False)
+    relations = pick_one(waves[1].unionByName(waves[3]), ["workspace_id", "source_id", "target_id", "type"],
+                         [F.col("wave"), F.col("seq")])
+    return last.select(*new[0].columns), relations.select(*new[1].columns)
+
+
 def ingest(records: DataFrame, workspace_id: str, order_col: str, path: str,
-           ontology: Ontology | None = None, rules: dict | None = None, strict: bool = False,
-           mode: str = "append") -> DataFrame:
-    """Build the graph and write it; the only actions are the two writes. Returns ``stats``."""
-    graph = build_graph(records, workspace_id, order_col, ontology, rules, strict)
-    write_graph(graph["entities"], graph["relations"], path, mode)
+           ontology: Ontology | None = None, rules: dict | None = None, strict: bool = False) -> DataFrame:
+    """Build the graph of the records, merge it into what the workspace holds under ``path`` and
+    replace that workspace's files; other workspaces are not touched. Repeating an ingest changes
+    nothing. Returns ``stats`` of the records."""
+    graph = build_graph(records, workspace_id, order_col, ontology, rules, strict, store=True)
+    new = (graph["entities"], graph["relations"])
+    old = _stored_graph(records, path, workspace_id)
+    if old is not None:
+        # stored before the files that it reads are replaced
+        new = tuple(materialize(df) for df in merged_graph(old, new))
+    write_graph(*new, path, "overwrite", only_given=True)
     return graph["stats"]

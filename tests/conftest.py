@@ -12,7 +12,7 @@ from semgraph.session import get_session  # noqa: E402
 def spark(tmp_path_factory):
     session = get_session("tests", "local[8]", {
         "spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false",
-        "spark.sql.adaptive.enabled": "false",
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("scratch")),
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))})
     session.sparkContext.setLogLevel("ERROR")
