@@ -95,7 +95,7 @@ def cte(*parts: str, versions: tuple[int, ...] = (1, 2)) -> str:
     out = []
     for part in parts:
         union = " UNION ALL ".join(f"({text_of(part, v)})" for v in versions)
-        out.append(f"{part}_t AS ({union})")
+        out.append(f"{part}_t AS MATERIALIZED ({union})")
     return ", ".join(out).replace("{lineitem}", "lineitem").replace("{orders}", "orders")
 
 
@@ -739,20 +739,20 @@ def physical_columns(spark, sf):
 
 
 @CATALOG.add("drift_mapping", f"""
-    WITH {cte('models', 'objects', 'properties')}, phys AS ({PHYSICAL}),
-    obj AS (SELECT DISTINCT o.model_id, o.pos, o.name AS object, lower(o.name) AS tab FROM objects_t o
+    WITH {cte('models', 'objects', 'properties')}, phys AS MATERIALIZED ({PHYSICAL}),
+    obj AS MATERIALIZED (SELECT DISTINCT o.model_id, o.pos, o.name AS object, lower(o.name) AS tab FROM objects_t o
       JOIN models_t m ON m.model_id = o.model_id AND m.version_id = o.version_id AND m.has_mapping
       WHERE o.version_id = '1'),
-    tabs AS (SELECT DISTINCT schema, "table" FROM phys),
-    here AS (SELECT DISTINCT model_id, object FROM obj SEMI JOIN tabs ON schema = model_id
+    tabs AS MATERIALIZED (SELECT DISTINCT schema, "table" FROM phys),
+    here AS MATERIALIZED (SELECT DISTINCT model_id, object FROM obj SEMI JOIN tabs ON schema = model_id
              AND "table" = tab),
-    want AS (SELECT p.model_id, p.object, name AS col, type FROM properties_t p SEMI JOIN here
+    want AS MATERIALIZED (SELECT p.model_id, p.object, name AS col, type FROM properties_t p SEMI JOIN here
              ON here.model_id = p.model_id AND here.object = p.object WHERE version_id = '1'),
-    got AS (SELECT model_id, object, column_name AS col, p.type FROM obj JOIN phys p
+    got AS MATERIALIZED (SELECT model_id, object, column_name AS col, p.type FROM obj JOIN phys p
             ON p.schema = model_id AND p."table" = tab),
-    missing AS (SELECT * FROM want ANTI JOIN got USING (model_id, object, col)),
-    added AS (SELECT * FROM got ANTI JOIN want USING (model_id, object, col)),
-    cand AS (SELECT m.model_id, m.object, m.col, MIN(a.col) AS other, COUNT(*) AS k
+    missing AS MATERIALIZED (SELECT * FROM want ANTI JOIN got USING (model_id, object, col)),
+    added AS MATERIALIZED (SELECT * FROM got ANTI JOIN want USING (model_id, object, col)),
+    cand AS MATERIALIZED (SELECT m.model_id, m.object, m.col, MIN(a.col) AS other, COUNT(*) AS k
       FROM missing m JOIN added a ON a.model_id = m.model_id AND a.object = m.object AND
         CASE m.type WHEN 'string' THEN a.type LIKE 'varchar%' WHEN 'integer' THEN a.type LIKE 'bigint%'
           ELSE a.type LIKE 'decimal%' END GROUP BY 1, 2, 3 HAVING COUNT(*) = 1)
