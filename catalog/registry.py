@@ -579,7 +579,7 @@ def ontology_tables(spark, sf):
             "relations": relations.withColumn("pos", F.lit(0))}
 
 
-@CATALOG.add("ontology_quality", """
+QUALITY = """
     WITH lines AS (SELECT *, replace(p_brand, '#', '') AS brand, l_suppkey AS id
                    FROM lineitem JOIN part ON l_partkey = p_partkey),
     ent AS (SELECT id, p_partkey % 5 AS pos, MIN(CASE WHEN p_size > 3 THEN brand ELSE lower(brand) END)
@@ -624,7 +624,10 @@ def ontology_tables(spark, sf):
         least(1.0, coalesce(idx::DOUBLE / nullif(ep, 0), 0) * 0.3
           + coalesce(req::DOUBLE / nullif(ep, 0), 0) * 0.3 + 0.2 + h * 0.2) AS structure FROM f),
     q AS (SELECT *, completeness * 0.25 + consistency * 0.25 + coherence * 0.2 + coverage * 0.15
-          + structure * 0.15 AS score FROM s)
+          + structure * 0.15 AS score FROM s)"""
+
+
+@CATALOG.add("ontology_quality", f"""{QUALITY}
     SELECT ontology_id, ne AS entity_count, issues AS issue_count,
       ROUND(completeness::DOUBLE, 6) AS completeness, ROUND(consistency::DOUBLE, 6) AS consistency,
       ROUND(coherence::DOUBLE, 6) AS coherence, ROUND(coverage::DOUBLE, 6) AS coverage,
@@ -639,11 +642,23 @@ def quality(spark, sf):
                          *[F.round(n, 6).alias(n) for n in names], "grade")
 
 
-@CATALOG.add("ontology_recommendations")
+@CATALOG.add("ontology_recommendations", f"""{QUALITY},
+    advice AS (SELECT ontology_id, unnest(list_filter([
+        CASE WHEN completeness < 0.7 AND ne < 3 THEN 'few_entities' END,
+        CASE WHEN completeness < 0.7 AND nr < 2 THEN 'few_relations' END,
+        CASE WHEN completeness < 0.7 AND with_props / ne < 0.8 THEN 'bare_entities' END,
+        CASE WHEN consistency < 0.8 AND issues > 0 THEN 'issues' END,
+        CASE WHEN coherence < 0.7 AND h = 0 THEN 'no_hierarchy' END,
+        CASE WHEN coherence < 0.7 AND greatest(pascal, camel) / ne < 0.8 THEN 'mixed_names' END,
+        CASE WHEN coverage < 0.7 THEN 'narrow' END,
+        CASE WHEN structure < 0.7 AND coalesce(idx / nullif(ep, 0), 0) < 0.5 THEN 'few_indexes' END,
+        CASE WHEN structure < 0.7 AND coalesce(req / nullif(ep, 0), 0) < 0.3 THEN 'few_required' END],
+        lambda x: x IS NOT NULL)) AS code FROM q)
+    SELECT code, COUNT(*) AS n FROM advice GROUP BY 1""")
 def recommendations(spark, sf):
     scores = schema_quality(ontology_tables(spark, sf))
-    return scores.select(F.explode("recommendations").alias("recommendation")).groupBy(
-        "recommendation").agg(F.count("*").alias("n"))
+    return scores.select(F.explode("recommendations").alias("r")).groupBy(
+        F.substring_index("r", ":", 1).alias("code")).agg(F.count("*").alias("n"))
 
 
 LIMB = "CAST(SUM(('0x' || substr(d, {}, 8))::BIGINT) AS VARCHAR)"

@@ -130,29 +130,18 @@ def schema_quality(tables: dict[str, DataFrame]) -> DataFrame:
     for low, letter in reversed(GRADES):
         grade = F.when(F.col("quality_score") >= low, letter).otherwise(grade)
 
-    def advise(when: Column, text: Column | str) -> Column:
-        return F.when(when, text if isinstance(text, Column) else F.lit(text))
-
     low = {n: F.col(n) < 0.7 for n in WEIGHTS}
-    advice = F.array_compact(F.array(
-        advise(low["completeness"] & (F.col("entity_count") < 3),
-               "Add more entity types to improve domain coverage"),
-        advise(low["completeness"] & (F.col("relation_count") < 2),
-               "Add more relation types to connect entities"),
-        advise(low["completeness"] & (F.col("_coverage") < 0.8),
-               "Add properties to entities for better data modeling"),
-        advise((F.col("consistency") < 0.8) & (F.col("issue_count") > 0), F.concat(
-            F.lit("Fix "), F.col("issue_count").cast("string"), F.lit(" consistency issues"))),
-        advise(low["coherence"] & (F.col("n_hierarchies") == 0),
-               "Consider adding hierarchical relationships between entities"),
-        advise(low["coherence"] & (F.col("_naming") < 0.8),
-               "Standardize naming conventions across entities and relations"),
-        advise(low["coverage"], "Expand schema to cover more domain concepts"),
-        advise(low["structure"] & (F.col("_indexing") < 0.5),
-               "Add indexes to frequently queried properties"),
-        advise(low["structure"] & (F.col("_required") < 0.3),
-               "Mark essential properties as required")))
+    codes = (
+        ("few_entities", low["completeness"] & (F.col("entity_count") < 3), "fewer than three kinds of entity"),
+        ("few_relations", low["completeness"] & (F.col("relation_count") < 2), "fewer than two kinds of relation"),
+        ("bare_entities", low["completeness"] & (F.col("_coverage") < 0.8), "many entities have no property"),
+        ("issues", (F.col("consistency") < 0.8) & (F.col("issue_count") > 0), "names, ends or types to mend"),
+        ("no_hierarchy", low["coherence"] & (F.col("n_hierarchies") == 0), "no entity is placed under another"),
+        ("mixed_names", low["coherence"] & (F.col("_naming") < 0.8), "names follow several spellings"),
+        ("narrow", low["coverage"], "the domain is covered thinly"),
+        ("few_indexes", low["structure"] & (F.col("_indexing") < 0.5), "under half of the properties are indexed"),
+        ("few_required", low["structure"] & (F.col("_required") < 0.3), "few properties are required"))
+    advice = F.array_compact(F.array(*[F.when(when, F.lit(f"{code}: {text}")) for code, when, text in codes]))
     return (scored.withColumn("quality_score", total).withColumn("grade", grade)
-            .withColumn("recommendations", F.when(F.size(advice) > 0, advice).otherwise(
-                F.array(F.lit("Schema quality is good!"))))
+            .withColumn("recommendations", advice)
             .drop("_coverage", "_naming", "_indexing", "_required", "n_hierarchies"))
