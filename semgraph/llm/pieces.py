@@ -11,6 +11,8 @@ word of the corpus in both directions, several times the size of the texts.
 from __future__ import annotations
 
 import re
+import sys
+import types
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
@@ -27,8 +29,11 @@ QUERIES = Queries()
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
-# Chunks that a worker remembers; with more it starts anew, which costs time and no exactness.
-REMEMBERED = 200_000
+# Chunks that a worker remembers from each of the last two stretches of text; those not met in either are
+# forgotten, which costs time and no exactness.
+REMEMBERED = 150_000
+# Pairs of pieces that a worker remembers.
+PAIRS = 500_000
 # Characters whose chunks are looked up together.
 PORTION = 1_000_000
 
@@ -56,10 +61,14 @@ class Pieces:
         if self.library.encode("  a  b ") != [i for c in CHUNK.findall(f"{MARK}  a  b ".replace(" ", MARK))
                                               for i in self._segment([c])[0]]:
             raise ValueError("the model changes white space; chunks do not give its ids")
-        self.longest = max(map(len, self.vocabulary))
+        # length of the longest piece by its last characters, three at most
+        self.reach: dict[str, int] = {}
+        for name in self.vocabulary:
+            self.reach[name[-3:]] = max(len(name), self.reach.get(name[-3:], 0))
         self.ids: dict[str, bytes] = {}
         self.prefixes: dict[str, bytes] = {}
-        self.fits: dict[tuple[int, str], bool] = {}
+        self.earlier: dict[int, dict[str, bytes]] = {}
+        self.fits: dict[int, bool] = {}
         self.names: list[str] = names
         self.shown: list[bytes] | None = None
 
@@ -73,7 +82,7 @@ class Pieces:
 
     def learn_ids(self, chunks: Iterable[str]) -> None:
         """Enters the ids of chunks, as int32."""
-        new = [c for c in chunks if c not in self.ids]
+        new = list(chunks)
         for chunk, ids in zip(new, self._segment(new)):
             self.ids[chunk] = array("i", ids).tobytes()
 
@@ -81,10 +90,16 @@ class Pieces:
                  known: dict[str, bytes]) -> Iterator[list[str]]:
         """The chunks of each text, once their distinct ones are in the table ``known``."""
         def learnt() -> Iterator[list[str]]:
+            earlier = self.earlier.setdefault(id(known), {})
             if len(known) > REMEMBERED:
+                earlier.clear()
+                earlier.update(known)
                 known.clear()
+            if len(self.fits) > PAIRS:
                 self.fits.clear()
-            learn(set().union(*held))
+            new = set().union(*held).difference(known)
+            known.update({c: earlier[c] for c in new & earlier.keys()})
+            learn(new.difference(earlier))
             return iter(held)
 
         held, size = [], 0
@@ -127,12 +142,11 @@ class Pieces:
 
     # Prefix counts ------------------------------------------------------------------------------
 
-    def _pair_fits(self, last: int, name: str) -> bool:
+    def _pair_fits(self, last: int, piece: int) -> bool:
         """Whether the library splits the two pieces' joint text into just these two; -1: no piece
         before. A line feed in front keeps the marker that the library adds out of the merges."""
-        before = "" if last < 0 else self.names[last]
-        ids = self.library.encode("\n" + before + name)[2:]
-        return ids == ([last] if last >= 0 else []) + [self.vocabulary[name]]
+        pair = [piece] if last < 0 else [last, piece]
+        return self.library.encode("\n" + "".join([self.names[p] for p in pair]))[2:] == pair
 
     def learn_counts(self, chunks: Iterable[str]) -> None:
         """Enters token counts of all prefixes of chunks, shortest first, as int32.
@@ -142,9 +156,9 @@ class Pieces:
         outside the vocabulary becomes its bytes, which never merge. In sorted order, chunks take
         over what their common start with the one before has already shown.
         """
-        vocabulary, fits, longest, table = self.vocabulary, self.fits, self.longest, self.prefixes
+        vocabulary, fits, reach, table = self.vocabulary, self.fits, self.reach, self.prefixes
         before, last, count = "", [-1], [0]
-        for chunk in sorted(c for c in chunks if c not in table):
+        for chunk in sorted(chunks):
             n, same = len(chunk), 0
             for a, b in zip(before, chunk):
                 if a != b:
@@ -152,16 +166,17 @@ class Pieces:
                 same += 1
             del last[same + 1:], count[same + 1:]
             for end in range(same + 1, n + 1):
-                for start in range(end - longest if end > longest else 0, end):
-                    name = chunk[start:end]
-                    if name not in vocabulary:
+                start = end - reach.get(chunk[end - 3:end], 2) if end > 2 else 0
+                for start in range(start if start > 0 else 0, end):
+                    piece = vocabulary.get(chunk[start:end])
+                    if piece is None:
                         continue
-                    pair = (last[start], name)
+                    pair = (last[start] + 1) << 24 | piece
                     good = fits.get(pair)
                     if good is None:
-                        good = fits[pair] = self._pair_fits(*pair)
+                        good = fits[pair] = self._pair_fits(last[start], piece)
                     if good:
-                        last.append(vocabulary[name])
+                        last.append(piece)
                         count.append(count[start] + 1)
                         break
                 else:
@@ -184,13 +199,13 @@ class Pieces:
         return counts
 
 
-_LOADED: dict[str, Pieces] = {}
-
-
 def _pieces(path: str) -> Pieces:
-    if path not in _LOADED:
-        _LOADED[path] = Pieces(path)
-    return _LOADED[path]
+    """The model of this worker, with what it has learnt. It is held in a module made at run time, as
+    functions that travel by value bring new globals to each task."""
+    held = sys.modules.setdefault("semgraph_worker", types.ModuleType("semgraph_worker")).__dict__
+    if path not in held:
+        held[path] = Pieces(path)
+    return held[path]
 
 
 def _portions(column: pa.Array) -> Iterator[list[str]]:
