@@ -190,14 +190,18 @@ def drain(stream, spark, name, mode="append"):
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
+def stream(spark, sf, table):
+    """A table as a stream, be it one file or a folder of parts; a pattern, as a plain path of a stream
+    must be a folder."""
+    return spark.readStream.schema(read(spark, sf, table).schema).parquet(f"{sf.rstrip('/')}/{table}.parque[t]")
+
+
 @CATALOG.add("stream_deduped_documents", """
     SELECT COUNT(DISTINCT trim(lower(text), chr(9)||chr(10)||chr(13)||' '||chr(160))) AS n,
            COUNT(DISTINCT trim(lower(text), chr(9)||chr(10)||chr(13)||' '||chr(160))) AS fingerprints
     FROM documents""")
 def streamed_documents(spark, sf):
-    source = read(spark, sf, "documents")
-    docs = spark.readStream.schema(source.schema).option(
-        "pathGlobFilter", "documents.parquet").parquet(sf)
+    docs = stream(spark, sf, "documents")
     entities = docs.select(
         F.lit("docs").alias("workspace_id"), F.col("doc_id").cast("string").alias("id"),
         F.lit("Document").alias("type"), map_of({"text": F.col("text")}).alias("props"))
@@ -214,10 +218,7 @@ def streamed_hits(spark, sf):
     before = spark.conf.get(provider, None)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        source = read(spark, sf, "events")
-        calls = spark.readStream.schema(source.schema).option(
-            "pathGlobFilter", "events.parquet").parquet(sf)
-        calls = calls.select(F.col("event_id").alias("request_id"),
+        calls = stream(spark, sf, "events").select(F.col("event_id").alias("request_id"),
                              F.col("event_type").alias("request_key"), "ts")
         return drain(stream_label_cache_hits(calls), spark, "hits").select("request_id", "cached")
     finally:

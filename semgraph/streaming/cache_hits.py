@@ -26,16 +26,15 @@ class _CacheState(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         filled = self._filled.get()[0] if self._filled.exists() else None
         before = filled
-        for batch in rows:
-            batch = batch.sort_values([self._ts, self._tie])
-            micros = batch[self._ts].astype("datetime64[us]").astype("int64").to_numpy()
-            hits = []
-            for now in micros:
-                hit = filled is not None and now - filled < self._ttl_us
-                hits.append(hit)
-                if not hit:
-                    filled = int(now)
-            yield batch.assign(cached=hits)
+        # all Arrow batches of the key together: the order of arrival inside a micro-batch means nothing
+        batch = pd.concat(list(rows), ignore_index=True).sort_values([self._ts, self._tie])
+        hits = []
+        for now in batch[self._ts].astype("datetime64[us]").astype("int64").tolist():
+            hit = filled is not None and now - filled < self._ttl_us
+            hits.append(hit)
+            if not hit:
+                filled = now
+        yield batch.assign(cached=hits)
         if filled != before:
             for timer in list(self._handle.listTimers()):
                 self._handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
@@ -54,7 +53,8 @@ def stream_label_cache_hits(stream: DataFrame, ttl: float = 3600, key: str = "re
                             ts: str = "ts", tie: str = "request_id",
                             delay: str = "10 minutes") -> DataFrame:
     """Add ``cached`` to a stream of requests. Requests of a key are taken in time order within a
-    micro-batch; across batches in arrival order. Needs the RocksDB state store provider."""
+    micro-batch, whatever the Arrow batches; across micro-batches in the order of these. The rows of one
+    key and micro-batch are held together, so a trigger should bound its input. Needs the RocksDB state store provider."""
     stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields]
     return stream.withWatermark(ts, delay).groupBy(key).transformWithStateInPandas(
