@@ -87,8 +87,3 @@ def map_fingerprint(props: Column) -> Column:
                            F.coalesce(strip(F.lower(e["value"])), F.lit("none"))),
     )
     return F.md5(F.array_join(pairs, "\x1e"))
-
-
-def rows_from(checks: list[Column], fields: list[str]) -> Column:
-    """Generator for the non-NULL structs of ``checks``: one output row per struct."""
-    return F.inline(F.array_compact(F.array(*checks))).alias(*fields)

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from semgraph.session import materialize
 
-# Plans this deep stay unbroken; beyond it every path level is written to the scratch folder.
-UNBROKEN_LEVELS = 4
-
 
 def in_workspace(df: DataFrame, workspace: str | None) -> DataFrame:
     """Rows of one workspace; on tables partitioned by workspace this prunes files."""
@@ -92,15 +89,8 @@ def neighbors(entities: DataFrame, relations: DataFrame, ids: DataFrame | list[s
         "workspace_id", "node", "id", "type", "props", "relation", "direction")
 
 
-def _hops(relations: DataFrame, entities: DataFrame | None, workspace: str | None) -> DataFrame:
-    """Distinct directed edges; with ``entities``, only those whose target has an entity row."""
-    hops = in_workspace(relations, workspace).select("workspace_id", "source_id", "target_id")
-    hops = hops.distinct()
-    if entities is not None:
-        known = in_workspace(entities, workspace).select(
-            "workspace_id", F.col("id").alias("target_id")).distinct()
-        hops = hops.join(known, ["workspace_id", "target_id"], "left_semi")
-    return hops.select("workspace_id", "source_id", "target_id")
+def _known(entities: DataFrame, workspace: str | None, node: str) -> DataFrame:
+    return in_workspace(entities, workspace).select("workspace_id", F.col("id").alias(node)).distinct()
 
 
 def shortest_paths(relations: DataFrame, pairs: DataFrame, max_depth: int = 3,
@@ -108,34 +98,33 @@ def shortest_paths(relations: DataFrame, pairs: DataFrame, max_depth: int = 3,
     """Shortest directed path of every ``(workspace_id, src, dst)`` pair, at most ``max_depth``
     nodes long: ``workspace_id, src, dst, path, length``. Ties go to the smallest path.
 
-    A breadth-first search of all sources at once: a level joins the frontier with the edges and
-    keeps one path per source and node; nodes reached before drop out by an anti join.
+    A breadth-first search of all sources at once. A level joins the frontier with the edges, keeps
+    one path per source and node, drops nodes visited before and is written to the scratch folder, so
+    the plan of a level does not hold those before. Pairs leave when they are found, and sources with
+    no pair left are not walked further.
     """
-    hops = _hops(relations, entities, None)
-    sources = pairs.select("workspace_id", "src").distinct()
     keys = ["workspace_id", "src", "node"]
-    frontier = sources.select("workspace_id", "src", F.col("src").alias("node"),
-                              F.array("src").alias("path"))
-    levels = [frontier]
-    for depth in range(1, max_depth):
-        step = (frontier.join(hops.withColumnRenamed("source_id", "node"), ["workspace_id", "node"])
-                .select("workspace_id", "src", F.col("target_id").alias("node"),
-                        F.concat("path", F.array("target_id")).alias("path")))
+    edges = relations.select("workspace_id", F.col("source_id").alias("node"), "target_id")
+    open_pairs = materialize(pairs.select("workspace_id", "src", F.col("dst").alias("node")).distinct())
+    frontier = open_pairs.select("workspace_id", "src").distinct().select(
+        "workspace_id", "src", F.col("src").alias("node"), F.array("src").alias("path"))
+    visited = frontier.select(*keys)
+    found = frontier.join(open_pairs, keys, "left_semi")
+    open_pairs = open_pairs.filter("src <> node")
+    for _ in range(1, max_depth):
+        walked = frontier.join(open_pairs.select("workspace_id", "src").distinct(), ["workspace_id", "src"], "left_semi")
+        step = walked.join(edges, ["workspace_id", "node"]).select(
+            "workspace_id", "src", F.col("target_id").alias("node"),
+            F.concat("path", F.array("target_id")).alias("path"))
+        if entities is not None:
+            step = step.join(_known(entities, None, "node"), ["workspace_id", "node"], "left_semi")
         fresh = step.groupBy(*keys).agg(F.min("path").alias("path"))
-        seen = levels[0].select(*keys)
-        for level in levels[1:]:
-            seen = seen.unionByName(level.select(*keys))
-        frontier = fresh.join(seen, keys, "left_anti")
-        if max_depth > UNBROKEN_LEVELS:
-            frontier = materialize(frontier)
-        levels.append(frontier)
-    reached = levels[0]
-    for level in levels[1:]:
-        reached = reached.unionByName(level)
-    asked = pairs.select("workspace_id", "src", F.col("dst").alias("node")).distinct()
-    return (reached.join(asked, keys)
-            .select("workspace_id", "src", F.col("node").alias("dst"), "path",
-                    (F.size("path") - 1).alias("length")))
+        frontier = materialize(fresh.join(visited, keys, "left_anti"))
+        visited = visited.unionByName(frontier.select(*keys))
+        found = found.unionByName(frontier.join(open_pairs, keys, "left_semi"))
+        open_pairs = open_pairs.join(frontier.select(*keys), keys, "left_anti")
+    return found.select("workspace_id", "src", F.col("node").alias("dst"), "path",
+                        (F.size("path") - 1).alias("length"))
 
 
 def shortest_path(relations: DataFrame, src: str, dst: str, max_depth: int = 3,
@@ -150,27 +139,31 @@ def shortest_path(relations: DataFrame, src: str, dst: str, max_depth: int = 3,
 def all_paths(relations: DataFrame, sources: DataFrame | list[str], max_depth: int = 3,
               limit: int | None = None, entities: DataFrame | None = None,
               workspace: str | None = None) -> DataFrame:
-    """All simple directed paths from the sources with up to ``max_depth`` nodes, shortest first."""
-    hops = _hops(relations, entities, workspace)
-    if isinstance(sources, list):
-        start = hops.filter(F.col("source_id").isin(sources))
-    else:
-        start = hops.join(sources.select("workspace_id", F.col("src").alias("source_id"))
-                          .distinct(), ["workspace_id", "source_id"], "left_semi")
+    """All simple directed paths from the sources with up to ``max_depth`` nodes, shortest first.
+
+    Every level is written to the scratch folder. Sources given as a list are few: edges meet the
+    frontier first, and parallel ones are merged behind the join."""
+    edges = in_workspace(relations, workspace).select("workspace_id", "source_id", "target_id")
+    few = isinstance(sources, list)
+    if not few:
+        edges = edges.distinct()
+    if entities is not None:
+        edges = edges.join(_known(entities, workspace, "target_id"), ["workspace_id", "target_id"], "left_semi")
+    start = edges.filter(F.col("source_id").isin(sources)) if few else edges.join(
+        sources.select("workspace_id", F.col("src").alias("source_id")).distinct(),
+        ["workspace_id", "source_id"], "left_semi")
     frontier = start.filter((F.col("source_id") != F.col("target_id")) & F.lit(max_depth > 1)).select(
         "workspace_id", F.col("source_id").alias("src"),
         F.array("source_id", "target_id").alias("path"))
-    levels = [frontier]
+    levels = [materialize(frontier.distinct() if few else frontier)]
     for _depth in range(2, max_depth):
-        frontier = (
-            frontier.withColumn("_at", F.element_at("path", -1))
-            .join(hops.withColumnRenamed("source_id", "_at"), ["workspace_id", "_at"])
+        longer = (
+            levels[-1].withColumn("_at", F.element_at("path", -1))
+            .join(edges.withColumnRenamed("source_id", "_at"), ["workspace_id", "_at"])
             .filter(~F.array_contains("path", F.col("target_id")))
             .select("workspace_id", "src",
                     F.concat("path", F.array("target_id")).alias("path")))
-        if max_depth > UNBROKEN_LEVELS:
-            frontier = materialize(frontier)
-        levels.append(frontier)
+        levels.append(materialize(longer.distinct() if few else longer))
     found = levels[0]
     for level in levels[1:]:
         found = found.unionByName(level)

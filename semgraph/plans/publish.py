@@ -78,7 +78,7 @@ def joined_view(bound: BoundModel, root: str | None = None) -> DataFrame:
     steps: list[tuple] = []
     for target, routes in model.routes_from(root).items():
         if len(routes) > 1:
-            raise SemanticError(f"ambiguous join: {len(routes)} routes from {root} to {target}")
+            raise SemanticError(f"ambiguous join: several routes from {root} to {target}")
         steps += [s for s in routes[0] if s not in steps]
     tree = JoinTree(root, tuple(steps))
     columns = [F.col(f"{obj}.{c}").alias(f"{obj}_{c}")

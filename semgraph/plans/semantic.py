@@ -171,7 +171,8 @@ class SemanticModel:
         return source
 
     def routes_from(self, root: str) -> dict[str, list[tuple]]:
-        """All directed routes from ``root`` to each object it reaches."""
+        """Directed routes from ``root`` to each object it reaches: the first, and a second one where
+        there is any, which is all that telling one from several needs."""
         edges: dict[str, list] = {}
         for rel in self.relationships:
             step = rel.walk()
@@ -179,14 +180,14 @@ class SemanticModel:
                 edges.setdefault(step[0], []).append((rel, step[0], step[1]))
         found: dict[str, list[tuple]] = {root: [()]}
         frontier = [(root, ())]
-        while frontier:
-            here, route = frontier.pop(0)
+        for here, route in frontier:
             seen = {root, *(far for _r, _n, far in route)}
             for edge in edges.get(here, ()):
-                if edge[2] not in seen:
-                    found.setdefault(edge[2], []).append(route + (edge,))
+                known = found.setdefault(edge[2], [])
+                if edge[2] not in seen and len(known) < 2:
+                    known.append(route + (edge,))
                     frontier.append((edge[2], route + (edge,)))
-        return found
+        return {name: routes for name, routes in found.items() if routes}
 
     def join_tree(self, metric: Metric, others: set[str]) -> JoinTree:
         """The one tree whose root sees every needed object without multiplying metric rows."""
@@ -206,7 +207,7 @@ class SemanticModel:
         for target in sorted(needed):
             if len(routes[target]) > 1:
                 raise SemanticError(
-                    f"ambiguous join: {len(routes[target])} routes from {root} to {target}")
+                    f"ambiguous join: several routes from {root} to {target}")
             steps += [s for s in routes[target][0] if s not in steps]
         return JoinTree(root, tuple(steps))
 
