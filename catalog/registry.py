@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import Catalog, joined, read, stored
 from semgraph.operators.diff import diff_models, diff_summary
-from semgraph.operators.drift import (definition_drift, drift_events, mapping_drift, types_match)
+from semgraph.operators.drift import (definition_drift, drift_events, mapping_drift, unbound_models, types_match)
 from semgraph.operators.gates import (ambiguous_joins, disconnected_models, evaluate_models,
                                       gate_summary, inconsistent_grains, key_mismatches,
                                       model_components, unresolved_references)
@@ -753,7 +753,7 @@ def physical_columns(spark, sf):
                         kind.alias("type"))
 
 
-@CATALOG.add("drift_mapping", f"""
+DRIFTED = f"""
     WITH {cte('models', 'objects', 'properties')}, phys AS MATERIALIZED ({PHYSICAL}),
     obj AS MATERIALIZED (SELECT DISTINCT o.model_id, o.pos, o.name AS object, lower(o.name) AS tab FROM objects_t o
       JOIN models_t m ON m.model_id = o.model_id AND m.version_id = o.version_id AND m.has_mapping
@@ -766,7 +766,10 @@ def physical_columns(spark, sf):
     got AS MATERIALIZED (SELECT model_id, object, column_name AS col, p.type FROM obj JOIN phys p
             ON p.schema = model_id AND p."table" = tab),
     missing AS MATERIALIZED (SELECT * FROM want ANTI JOIN got USING (model_id, object, col)),
-    added AS MATERIALIZED (SELECT * FROM got ANTI JOIN want USING (model_id, object, col)),
+    added AS MATERIALIZED (SELECT * FROM got ANTI JOIN want USING (model_id, object, col))"""
+
+
+@CATALOG.add("drift_mapping", f"""{DRIFTED},
     cand AS MATERIALIZED (SELECT m.model_id, m.object, m.col, MIN(a.col) AS other, COUNT(*) AS k
       FROM missing m JOIN added a ON a.model_id = m.model_id AND a.object = m.object AND
         CASE m.type WHEN 'string' THEN a.type LIKE 'varchar%' WHEN 'integer' THEN a.type LIKE 'bigint%'
@@ -781,6 +784,19 @@ def drift_of_mapping(spark, sf):
         "model_id", "event_type", "element_name", "detail", "other")
 
 
+@CATALOG.add("gate_model_binds", f"""{DRIFTED},
+    lost AS (SELECT model_id FROM obj ANTI JOIN tabs ON schema = model_id AND "table" = tab
+             UNION ALL SELECT model_id FROM missing)
+    SELECT model_id, CASE WHEN COUNT(lost.model_id) > 0 THEN 'fail' ELSE 'pass' END AS status,
+           COUNT(lost.model_id) AS n_findings
+    FROM models_t LEFT JOIN lost USING (model_id) WHERE version_id = '1' GROUP BY 1""")
+def models_bind(spark, sf):
+    """Version 1 of every model against the tables that version 2 describes."""
+    reg = registry(spark, sf, (1,))
+    gates = evaluate_models(reg, "strict", unbound_models(reg, physical_columns(spark, sf)))
+    return gates.filter("gate = 'model_binds'").select("model_id", "status", "n_findings")
+
+
 @CATALOG.add("drift_type_matches", """
     SELECT m AS model_type, p AS physical, CASE m WHEN 'string' THEN p ILIKE 'varchar%' OR p ILIKE
       'text%' OR p ILIKE 'string%' WHEN 'integer' THEN p ILIKE 'int%' OR p ILIKE 'bigint%'
