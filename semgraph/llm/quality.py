@@ -142,7 +142,8 @@ def fit_votes(votes: np.ndarray, times: np.ndarray, rounds: int = 500) -> np.nda
 
 def judge(scored: DataFrame, struct: str, threshold: float = 0.5) -> DataFrame:
     """``scored`` (with ``signals`` in column ``struct``) and the posterior of each row as a last
-    column, ``good_chance``. The rows are read twice, so they should be stored."""
+    column, ``good_chance``. The rows are computed twice, for the counts and for the result; store them
+    first where they are small."""
     pattern, chance = free_name(scored.columns, "pattern"), free_name(scored.columns, "good_chance")
     voted = scored.withColumn(pattern, vote_pattern(struct))
     counted = voted.groupBy(pattern).agg(F.count("*").alias("n")).orderBy(pattern).collect()
@@ -167,9 +168,11 @@ def drop_low_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     Null and empty texts fail. Equal texts get equal verdicts, repeated rows each their own. The
     model is fitted to the votes on all rows of ``docs``; with few rows it stays near their majority.
+    Texts are read twice rather than stored: a copy of the corpus on disk or a join that shuffles it
+    costs more than counting anew.
     """
     struct = free_name(docs.columns, "signals")
-    scored = materialize(docs.withColumn(struct, signals(F.col("text"))))
+    scored = docs.withColumn(struct, signals(F.col("text")))
     judged = judge(scored, struct)
     kept = judged.filter(~base_failed(struct) & (F.col(judged.columns[-1]) >= threshold))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
