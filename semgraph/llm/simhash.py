@@ -187,7 +187,7 @@ def sketches(text: Column, width: int) -> Column:
 
 
 def jaccard(left: Column, right: Column, width: int) -> Column:
-    """Share of common shingles among the distinct shingles of both texts."""
+    """Share of common shingles among the distinct shingles of both texts; 1 if neither has words."""
 
     @F.arrow_udf("double")
     def share(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -197,7 +197,8 @@ def jaccard(left: Column, right: Column, width: int) -> Column:
                 kept = (y, np.unique(shingle_hashes(y or "", width).astype(np.uint64)))
             own = np.unique(shingle_hashes(x or "", width).astype(np.uint64))
             both = len(np.intersect1d(own, kept[1], assume_unique=True))
-            out.append(both / max(1, len(own) + len(kept[1]) - both))
+            every = len(own) + len(kept[1]) - both
+            out.append(both / every if every else 1.0)
         return pa.array(out, pa.float64())
     return share.asNondeterministic()(left, right)
 
@@ -210,8 +211,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     share a band of least shingle values; each candidate is compared with the smallest text of
     its shard or band, so a band with a third of all rows gives one pair a row. Pairs count if the
     exact share of common ``width``-word shingles is at least ``similarity``. ``copy_of`` is the
-    smallest ``doc_id`` of the linked group. Texts without words and rows without ``doc_id`` have no
-    copies.
+    smallest ``doc_id`` of the linked group. Texts without words, null ones too, are copies of each
+    other. Rows without ``doc_id`` have no copies; rows that share one are one document.
     """
     whole = docs.filter("doc_id IS NOT NULL").select(
         "doc_id", F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")).alias("body"),
@@ -219,38 +220,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     sketched = materialize(whole.select("doc_id", "body", "s.fp", "s.bands"))
     texts = materialize(sketched.groupBy("body").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"),
                                                      F.first("bands").alias("bands")))
-    wordless = F.lit(sketch_of_nothing())
-    telling = texts.filter(F.col("bands")[0] != wordless)
-    banded = telling.select("node", F.explode("bands").alias("band"))
+    banded = texts.select("node", F.explode("bands").alias("band"))
     first = banded.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
     by_band = banded.join(first, "band").filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
-    by_print = telling.groupBy("fp").agg(F.min("node").alias("node"))
+    by_print = texts.groupBy("fp").agg(F.min("node").alias("node"))
     close = fingerprint_links(by_print.select("fp"))
     named = by_print.select(F.col("fp").alias("u"), F.col("node").alias("nu"))
     other = by_print.select(F.col("fp").alias("v"), F.col("node").alias("nv"))
     far = close.join(named, "u").join(other, "v").select(
         F.greatest("nu", "nv").alias("u"), F.least("nu", "nv").alias("v"))
-    same = telling.join(by_print.withColumnRenamed("node", "v"), "fp").filter("node <> v").select(
+    same = texts.join(by_print.withColumnRenamed("node", "v"), "fp").filter("node <> v").select(
         F.col("node").alias("u"), "v")
     pairs = materialize(by_band.unionByName(far).unionByName(same).distinct())
     asked = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    held = materialize(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    # texts move once, whatever the number of candidates; only candidates go on
+    held = materialize(docs.select("doc_id", "text").join(asked.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
     compared = (pairs.join(held.toDF("u", "tu"), "u").join(held.toDF("v", "tv"), "v")
                 .select("u", "v", jaccard(F.col("tu"), F.col("tv"), width).alias("share")))
     labels = component_labels(compared.filter(F.col("share") >= similarity).select("u", "v"))
     grouped = texts.join(labels, "node", "left").select("body", F.coalesce("component", "node").alias("copy_of"))
-    return (sketched.filter(F.col("bands")[0] != wordless).select("doc_id", "body").join(grouped, "body")
+    return (sketched.select("doc_id", "body").join(grouped, "body")
             .filter("doc_id <> copy_of").select("doc_id", "copy_of").distinct())
 
 
-def sketch_of_nothing() -> int:
-    """First band of a text without words."""
-    return xxhash.xxh64_intdigest(np.zeros(BAND_ROWS, np.uint64).tobytes(), 0) - 2**63
-
-
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near copies: the smallest ``doc_id`` stays."""
-    copies = near_duplicates(docs, width, similarity).select("doc_id").distinct()
+    # stored, so that the planner knows whether the copies are few enough to be sent to all tasks
+    copies = materialize(near_duplicates(docs, width, similarity).select("doc_id").distinct())
     gone = free_name(docs.columns, "gone")
     return docs.join(copies.select(F.col("doc_id").alias(gone)), F.col("doc_id") == F.col(gone), "left_anti")
 

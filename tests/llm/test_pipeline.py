@@ -75,7 +75,7 @@ def test_near_duplicate_stage(kept):
         return d
     for i, (a, x) in enumerate(rows):
         for b, y in rows[:i]:
-            if x and y and len(x & y) >= 0.8 * len(x | y):
+            if len(x & y) >= 0.8 * len(x | y):
                 low, high = sorted((find(a), find(b)))
                 root[high] = low
     want = {d for d, _ in rows if find(d) == d}
