@@ -365,7 +365,10 @@ def op9(spark, sf):
         place = F.coalesce(*[F.when(span["kind"] == k, F.lit(i)) for k, i in rank.items()])
         return F.struct(place.alias("place"), span["start"].alias("start"), span["stop"].alias("stop"), span["kind"].alias("kind"))
 
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     every = F.array_sort(F.transform(F.concat(base, F.col("personal.added")), order))
     return found.select(
-        "doc_id", *[F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        "doc_id", *map(count, KINDS),
         digest(_joined(base)).alias("base_sha256"), _joined(every).alias("spans"))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -147,6 +148,23 @@ def test_patterns_against_brute_force(spark, small_sf):
         assert personal.base_spans(text) == brute_spans(text), text
 
 
+def test_personal_query_against_brute_force(spark, small_sf):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small_sf}/documents.parquet").collect()}
+    rows = personal.op9(spark, small_sf).collect()
+    assert {r.doc_id for r in rows} == docs.keys()
+    for r in rows:
+        want = brute_spans(docs[r.doc_id])
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == n for k, *_ in want) for n in PATTERNS)
+        spans = [s.split(":") for s in r.spans.split(",") if s]
+        assert {f"{k}:{a}:{b}" for k, a, b in want} <= {":".join(s) for s in spans}
+        order = [*PATTERNS, "secret", "identity"]
+        assert spans == sorted(spans, key=lambda s: (order.index(s[0]), int(s[1])))
+    secrets = sum(s.startswith("secret") for r in rows for s in r.spans.split(","))
+    assert secrets == sum(len(re.findall('token = "[0-9a-f]{40}"|AKIA[A-Z0-9]{16}|password=[0-9a-f]{18}', t)) for t in docs.values())
+
+
 def test_long_texts_take_linear_time():
     for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" * 150_000, "a@" * 150_000, "+1" + "(" * 300_000):
         personal.base_spans(text)
