@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semgraph.llm.common import Queries, table
+from semgraph.session import materialize
 
 QUERIES = Queries()
 
@@ -214,7 +215,8 @@ def licence_paragraphs(docs: DataFrame) -> DataFrame:
     templates = spark.createDataFrame(fitted["templates"], "family string, template int, gram string")
     lines = docs.select("doc_id", F.xxhash64("text").alias("body"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     worded = lines.select("doc_id", "body", "pos", _words(F.col("line")).alias("words"))
-    telling = worded.filter(F.arrays_overlap("words", F.array(*map(F.lit, fitted["telling"]))))
+    # stored: few lines are left, and their words are then read, not split anew for every pair
+    telling = materialize(worded.filter(F.arrays_overlap("words", F.array(*map(F.lit, fitted["telling"])))))
     places = F.sequence(F.lit(0), F.greatest(F.size("words") - 2, F.lit(0)))
     pairs = F.when(F.size("words") > 1, F.transform(
         places, lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1)))).otherwise(F.array().cast("array<string>"))
