@@ -29,6 +29,9 @@ OVERLAP = 0.6
 #: Most n-grams in the model, which bounds what is broadcast.
 MOST_GRAMS = 5000
 
+# Abbreviations of licences that are no words of the corpus languages (as ``mit`` and ``by`` are).
+SHORT = frozenset("gpl lgpl agpl bsd mpl spdx cc0 gnu".split())
+
 # Wording of public licences and of the notices that refer to them.
 NOTICES = {
     "MIT": """Released under the MIT License.
@@ -189,16 +192,15 @@ def model() -> dict:
     w = _fit(rows, classes, len(families), vocabulary)
     plain = {g for r, c in zip(rows, classes) if families[c] == NONE for g in r}
     telling = sorted({g for r, c in zip(rows, classes) if families[c] != NONE for g in r
-                      if " " not in g and len(g) > 1 and not g.isdigit() and g not in plain}
-                     | {"license", "licensed", "copyright", "gpl", "permission"})
+                      if " " not in g and len(g) > 4 and not g.isdigit() and g not in plain}
+                     | SHORT | {"license", "licensed", "copyright", "permission"})
     return {"families": families, "grams": grams, "weights": w, "telling": telling, "bound": max(bound, 0.5),
             "held_out": float(np.mean(right)),
             "templates": [(families[c], t, g) for t, (r, c) in enumerate(zip(rows, classes)) if families[c] != NONE for g in r]}
 
 
 def _words(line: Column) -> Column:
-    flat = F.trim(F.regexp_replace(F.lower(line), "[^a-z0-9]+", " "))
-    return F.split(flat, " ")
+    return F.array_remove(F.split(F.lower(line), "[^a-z0-9]+"), "")
 
 
 def licence_paragraphs(docs: DataFrame) -> DataFrame:
@@ -206,7 +208,8 @@ def licence_paragraphs(docs: DataFrame) -> DataFrame:
     classifier takes for a licence notice; ``body`` is a hash of the text.
 
     ``family`` is ``unknown`` where no family is probable enough or the templates do not confirm it.
-    Lines without any of the words that only notices have in the labelled table are none.
+    Lines without any telling word are none: words of five letters or more that only notices have in the
+    labelled table, and abbreviations. Every notice of the table holds one.
     """
     spark, fitted = docs.sparkSession, model()
     n = len(fitted["families"])

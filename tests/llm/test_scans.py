@@ -99,7 +99,11 @@ def test_votes_recover_planted_accuracies():
 
 
 def test_licence_held_out_accuracy():
-    assert licences.model()["held_out"] > 0.7
+    fitted = licences.model()
+    assert fitted["held_out"] > 0.7
+    for family, notices in licences.NOTICES.items():
+        assert family == licences.NONE or all(
+            set(licences.grams_of(n)) & set(fitted["telling"]) for n in notices.split("\n"))
 
 
 def test_licences(spark):
