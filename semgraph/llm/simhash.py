@@ -68,8 +68,8 @@ def fingerprints(text: Column, width: int = 3) -> Column:
     return print_of.asNondeterministic()(text)
 
 
-def tree_links(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
-    """Spanning links of distinct fingerprints within the radius, by a BK-tree."""
+def tree_links(values: list[int], radius: int, every: bool = False) -> Iterator[tuple[int, int]]:
+    """Spanning links of distinct fingerprints within the radius, or all pairs, by a BK-tree."""
     children: dict[int, dict[int, int]] = {values[0]: {}}
     root_of = {v: v for v in values}
 
@@ -84,7 +84,7 @@ def tree_links(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
         while search:
             node = search.pop()
             apart = ((value ^ node) & 0xFFFFFFFFFFFFFFFF).bit_count()
-            if apart <= radius and root(value) != root(node):
+            if apart <= radius and (every or root(value) != root(node)):
                 root_of[root(value)] = root(node)
                 yield value, node
             below = children[node]
@@ -100,9 +100,11 @@ def tree_links(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
             node = following
 
 
-def fingerprint_links(prints: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
+def fingerprint_links(prints: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES,
+                      every: bool = False) -> DataFrame:
     """``u, v``: links among distinct ``prints(fp)`` that join all fingerprints within ``radius``
-    (at most 2) of each other, directly or through others."""
+    (at most 2) of each other, directly or through others; with ``every`` all such pairs, some of them
+    repeatedly. A fingerprint has at most 2080 others within two bits, so pairs grow with the rows."""
     if not 0 <= radius <= 2:
         raise ValueError("blocks and variants are exact up to a radius of two")
     block = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
@@ -120,12 +122,12 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, tree_nodes: int =
             found: list[tuple[int, int]] = []
             for key, value in zip(batch.column("shard").to_pylist(), batch.column("fp").to_pylist()):
                 if key != shard and held:
-                    found += tree_links(held, radius)
+                    found += tree_links(held, radius, every)
                     held = []
                 shard = key
                 held.append(value)
             yield _pairs(found)
-        yield _pairs(list(tree_links(held, radius)) if held else [])
+        yield _pairs(list(tree_links(held, radius, every)) if held else [])
 
     trees = (sharded.filter(F.col("n") <= tree_nodes).select("shard", "fp").repartition("shard")
              .sortWithinPartitions("shard", "fp").mapInArrow(links, "u bigint, v bigint"))
@@ -137,6 +139,9 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, tree_nodes: int =
     if radius == 1:
         turned = variants.filter("variant <> fp").join(large.withColumnRenamed("fp", "variant"), "variant")
         return trees.unionByName(turned.select(F.col("fp").alias("u"), F.col("variant").alias("v")))
+    if every:
+        both = variants.toDF("u", "variant").join(variants.toDF("v", "variant"), "variant").filter("u > v")
+        return trees.unionByName(both.select("u", "v"))
     shared = variants.groupBy("variant").agg(F.min("fp").alias("v"), F.max("fp").alias("most")).filter("v < most")
     return trees.unionByName(variants.join(shared, "variant").filter("fp <> v").select(F.col("fp").alias("u"), "v"))
 
@@ -206,10 +211,12 @@ def jaccard(left: Column, right: Column, width: int) -> Column:
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id, copy_of`` of the documents that have a near copy with a smaller ``doc_id``.
 
-    Exact copies are brought together first. Candidates among distinct texts are fingerprints within
-    the radius and, since at a similarity of 0.8 SimHashes differ in about nine bits, texts that
-    share a band of least shingle values; each candidate is compared with the smallest text of
-    its shard or band, so a band with a third of all rows gives one pair a row. Pairs count if the
+    Exact copies are brought together first. Candidates among distinct texts are all fingerprint pairs
+    within the radius, equal ones too, and, since at a similarity of 0.8 SimHashes differ in about nine
+    bits, all texts that share a band of least shingle values. Rounds verify them: every bucket compares
+    some of its texts, the leads, with all of its texts of other groups; a lead then leaves the bucket.
+    The texts of a bucket's largest group never lead. It ends when no bucket holds texts of two groups,
+    so each candidate pair was verified or is in one group. Pairs count if the
     exact share of common ``width``-word shingles is at least ``similarity``. ``copy_of`` is the
     smallest ``doc_id`` of the linked group. Texts without words, null ones too, are copies of each
     other. Rows without ``doc_id`` have no copies; rows that share one are one document.
@@ -220,29 +227,56 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     sketched = materialize(whole.select("doc_id", "body", "s.fp", "s.bands"))
     texts = materialize(sketched.groupBy("body").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"),
                                                      F.first("bands").alias("bands")))
-    banded = texts.select("node", F.explode("bands").alias("band"))
-    first = banded.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
-    by_band = banded.join(first, "band").filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
-    by_print = texts.groupBy("fp").agg(F.min("node").alias("node"))
-    close = fingerprint_links(by_print.select("fp"))
-    named = by_print.select(F.col("fp").alias("u"), F.col("node").alias("nu"))
-    other = by_print.select(F.col("fp").alias("v"), F.col("node").alias("nv"))
-    far = close.join(named, "u").join(other, "v").select(
-        F.greatest("nu", "nv").alias("u"), F.least("nu", "nv").alias("v"))
-    same = texts.join(by_print.withColumnRenamed("node", "v"), "fp").filter("node <> v").select(
-        F.col("node").alias("u"), "v")
-    pairs = materialize(by_band.unionByName(far).unionByName(same).distinct())
+    close = fingerprint_links(texts.select("fp").distinct(), every=True).select(
+        F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    near = close.select(F.xxhash64("u", "v").alias("bucket"), F.explode(F.array("u", "v")).alias("fp")).join(
+        texts.select("fp", "node"), "fp").select("bucket", "node")
+    buckets = (texts.select(F.explode("bands").alias("bucket"), "node")
+               .unionByName(texts.select(F.xxhash64("fp").alias("bucket"), "node")).unionByName(near))
+    first = buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"),
+                                          F.count("*").alias("n")).filter("first < last").drop("last")
+    members = materialize(buckets.join(first, "bucket").filter("node <> first"))
+    pairs = materialize(members.select(F.col("node").alias("u"), F.col("first").alias("v")).distinct())
     asked = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
     # texts move once, whatever the number of candidates; only candidates go on
     held = materialize(docs.select("doc_id", "text").join(asked.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
-    compared = (pairs.join(held.toDF("u", "tu"), "u").join(held.toDF("v", "tv"), "v")
-                .select("u", "v", jaccard(F.col("tu"), F.col("tv"), width).alias("share")))
-    labels = component_labels(compared.filter(F.col("share") >= similarity).select("u", "v"))
+    # the first text of each bucket has led; buckets of two texts are through
+    left, labels, known, leads_each = members.filter("n > 2").select("bucket", "node").distinct(), None, pairs, 1
+    while True:
+        compared = (pairs.join(held.toDF("u", "tu"), "u").join(held.toDF("v", "tv"), "v")
+                    .select("u", "v", jaccard(F.col("tu"), F.col("tv"), width).alias("share")))
+        links = compared.filter(F.col("share") >= similarity).select("u", "v")
+        if labels is not None:
+            links = links.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        labels = component_labels(links)
+        pairs, left = _next_pairs(left, labels, leads_each := 8 * leads_each)
+        pairs = materialize(pairs.join(known, ["u", "v"], "left_anti"))
+        known = known.unionByName(pairs)
+        if pairs.isEmpty() and left.isEmpty():
+            break
     grouped = texts.join(labels, "node", "left").select("body", F.coalesce("component", "node").alias("copy_of"))
     return (sketched.select("doc_id", "body").join(grouped, "body")
             .filter("doc_id <> copy_of").select("doc_id", "copy_of").distinct())
 
 
+def _next_pairs(left: DataFrame, labels: DataFrame, leads_each: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``u > v`` of about ``leads_each`` texts of each bucket of ``left(bucket, node)`` with its texts of
+    other groups, and ``left`` without these leads and without the buckets that hold one group."""
+    grouped = left.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    largest = (grouped.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+               .groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("groups"))
+               .filter("groups > 1").select("bucket", F.col("most.component").alias("largest")))
+    live = materialize(grouped.join(largest, "bucket"))
+    # the same order in all buckets, so that a pair of several buckets comes up once
+    slot = F.pmod(F.xxhash64("node"), F.lit(leads_each))
+    leads = materialize(live.filter("component <> largest").groupBy("bucket", slot.alias("slot")).agg(
+        F.min(F.struct("node", "component")).alias("lead")).select("bucket", "lead"))
+    met = live.join(leads, "bucket").filter("component <> lead.component")
+    pairs = met.select(F.greatest("node", "lead.node").alias("u"), F.least("node", "lead.node").alias("v")).distinct()
+    rest = live.select("bucket", "node").join(leads.select("bucket", F.col("lead.node").alias("node")), ["bucket", "node"], "left_anti")
+    return pairs, materialize(rest)
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near copies: the smallest ``doc_id`` stays."""
     # stored, so that the planner knows whether the copies are few enough to be sent to all tasks

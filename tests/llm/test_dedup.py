@@ -176,3 +176,43 @@ def test_near_duplicates(spark):
     left = simhash.drop_near_duplicates(docs)
     assert left.columns == docs.columns and left.count() == len(rows) - 32
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_near_duplicates_whose_original_is_not_the_smallest(spark):
+    rng = random.Random(11)
+    rows, vocabulary = [], ["".join(rng.choices("abcdefgh", k=5)) for _ in range(900)]
+    for group in range(12):
+        words = rng.choices(vocabulary, k=200)
+        for copy in range(6):
+            # three words apart make 0.86 of the original, 0.73 of one another
+            near = list(words)
+            for at in range(10 + copy * 10, 200, 66):
+                near[at] = f"changed{copy}"
+            rows.append((group * 10 + copy, " ".join(near)))
+        rows.append((1000 + group, " ".join(words)))
+    docs = frame(spark, rows)
+    sketched = {r.doc_id: r.s for r in docs.select("doc_id", simhash.sketches(F.col("text"), 5).alias("s")).collect()}
+    own = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    root = {i: i for i, _ in rows}
+    for a in root:
+        for b in root:
+            candidates = (((sketched[a].fp ^ sketched[b].fp) & (2**64 - 1)).bit_count() <= 2
+                          or set(sketched[a].bands) & set(sketched[b].bands))
+            if candidates and len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    want = {i: r for i, r in root.items() if i != r}
+    assert {want[1000 + g] for g in range(12)} == {10 * g for g in range(12)}
+    assert {r.doc_id: r.copy_of for r in simhash.near_duplicates(docs).collect()} == want
+
+
+def test_all_pairs_of_fingerprints(spark):
+    rng = random.Random(6)
+    values = {0, 3, 12, 1 << 63}
+    for _ in range(40):
+        values.add(sum(1 << b for b in rng.sample(range(64), rng.choice([1, 2, 3]))))
+    values = sorted(v - 2**63 for v in values)
+    want = {(u, v) for u in values for v in values if v < u and ((u ^ v) & (2**64 - 1)).bit_count() <= 2}
+    for tree_nodes in (2048, 3):
+        edges = simhash.fingerprint_links(spark.createDataFrame([(v,) for v in values], "fp long"), 2, tree_nodes, every=True)
+        assert {(max(r), min(r)) for r in edges.collect()} == want
