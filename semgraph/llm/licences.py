@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import functools
 import re
+import zlib
+from collections.abc import Callable
 from itertools import pairwise
 
 import numpy as np
@@ -28,6 +30,10 @@ PRECISION = 0.98
 OVERLAP = 0.6
 #: Most n-grams in the model, which bounds what is broadcast.
 MOST_GRAMS = 5000
+#: Above the number of any gram; a pair of numbers is one integer.
+PAIR = 1 << 13
+#: Sums of weights in another order differ by less.
+ROUNDING = 1e-9
 
 # Abbreviations of licences that are no words of the corpus languages (as ``mit`` and ``by`` are).
 SHORT = frozenset("gpl lgpl agpl bsd mpl spdx cc0 gnu".split())
@@ -124,6 +130,9 @@ The company published its report in the last week of March.
 Modify the recipe as you like; the following steps are for four people.
 Es ist nicht bekannt, unter welchen Bedingungen die Arbeit getan wurde.
 Der Text liegt vor und kann von allen gelesen werden.
+Sie fuhr mit den Kindern in die Stadt und kam mit dem Zug zur Arbeit.
+Er ist mit der Frau und mit einem Freund am See.
+Und wer nicht mit ihr geht, kommt mit mir.
 La obra fue publicada por la ciudad en el mes de mayo de este año.
 El autor tiene todos los libros en la casa de su madre.
 Le travail est fini et la maison est ouverte au public.
@@ -203,13 +212,83 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), "[^a-z0-9]+"), "")
 
 
+def _constant(values: list, kind: str) -> Column:
+    """An array as one literal, which the optimizer folds."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def _places(keys: list, hash_of: Callable[[list, int], list[int]]) -> tuple[int, list]:
+    """A modulus under which no two hashes of ``keys`` meet, and the keys by their place under it."""
+    hashes = np.array(hash_of(keys))
+    size = 4 * len(keys) + 1
+    while len(np.unique(hashes % size)) < len(keys):
+        size += 2
+    table = [None] * size
+    for key, place in zip(keys, (hashes % size).tolist()):
+        table[place] = key
+    return size, table
+
+
+@functools.cache
+def _lookup() -> dict:
+    """Tables that find a word, then a pair of words, by a hash without collisions; and by a gram's
+    number how far it moves each family ahead of none."""
+    fitted = model()
+    at = {g: i for i, g in enumerate(fitted["grams"])}
+    words = [g for g in at if " " not in g]
+    pairs = {at[a] * PAIR + at[b]: at[g] for g in at if " " in g for a, b in [g.split(" ")]}
+    n_words, by_word = _places(words, lambda ks: [zlib.crc32(k.encode()) for k in ks])
+    n_pairs, by_pair = _places(list(pairs), lambda ks: ks)
+    none = fitted["families"].index(NONE)
+    ahead = np.delete(fitted["weights"] - fitted["weights"][:, [none]], none, 1)
+    return {"n_words": n_words, "words": [w or "" for w in by_word], "numbers": [at.get(w, -1) for w in by_word],
+            "n_pairs": n_pairs, "pairs": [-1 if p is None else p for p in by_pair],
+            "pair_numbers": [pairs.get(p, -1) for p in by_pair], "ahead": ahead}
+
+
+def known_grams(words: Column) -> Column:
+    """Numbers of the model's uni- and bigrams that ``words`` holds, each once; every word of a
+    bigram is a unigram of the model."""
+    t = _lookup()
+    names, numbers = _constant(t["words"], "string"), _constant(t["numbers"], "int")
+    keys, pair_numbers = _constant(t["pairs"], "int"), _constant(t["pair_numbers"], "int")
+
+    def number(word: Column) -> Column:
+        place = (F.crc32(word.cast("binary")) % F.lit(t["n_words"])).cast("int")
+        return F.when(F.get(names, place) == word, F.get(numbers, place)).otherwise(-1)
+
+    def pair(a: Column, b: Column) -> Column:
+        key = a * PAIR + b
+        place = key % F.lit(t["n_pairs"])
+        return F.when((a >= 0) & (b >= 0) & (F.get(keys, place) == key), F.get(pair_numbers, place)).otherwise(-1)
+
+    # the numbers of the words are made once, then passed on
+    return F.flatten(F.transform(F.array(F.transform(words, number)), lambda own: F.array_remove(F.array_distinct(
+        F.concat(own, F.zip_with(own, F.slice(own, 2, F.greatest(F.size(own) - 1, F.lit(0))), pair))), -1)))
+
+
+def beats_none(grams: Column) -> Column:
+    """Whether a family scores above none, up to rounding, for a line of these grams of the model."""
+    ahead = _lookup()["ahead"]
+    start, ahead = ahead[-1], ahead[:-1]
+
+    def total(moves: np.ndarray, at: float) -> Column:
+        table = _constant(moves.tolist(), "double")
+        return F.aggregate(grams, F.lit(float(at)), lambda so_far, gram: so_far + F.get(table, gram))
+
+    # no family can be ahead if the sum of each gram's best move is not; only other lines are scored by family
+    bound = total(ahead.max(1), start.max())
+    scores = [total(ahead[:, f], start[f]) for f in range(ahead.shape[1])]
+    return F.when(bound < -ROUNDING, False).otherwise(F.greatest(*scores) >= -ROUNDING)
+
+
 def licence_paragraphs(docs: DataFrame) -> DataFrame:
     """``doc_id, body, pos, family, chance, confirmed`` of the lines of ``docs(doc_id, text)`` that the
     classifier takes for a licence notice; ``body`` is a hash of the text.
 
     ``family`` is ``unknown`` where no family is probable enough or the templates do not confirm it.
-    Lines without any telling word are none: words of five letters or more that only notices have in the
-    labelled table, and abbreviations. Every notice of the table holds one.
+    Every line is scored: in place first, by looking its n-grams up in constant tables, and only the lines
+    where a family scores above none go on.
     """
     spark, fitted = docs.sparkSession, model()
     n = len(fitted["families"])
@@ -219,7 +298,7 @@ def licence_paragraphs(docs: DataFrame) -> DataFrame:
     lines = docs.select("doc_id", F.xxhash64("text").alias("body"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     worded = lines.select("doc_id", "body", "pos", _words(F.col("line")).alias("words"))
     # stored: few lines are left, and their words are then read, not split anew for every pair
-    telling = materialize(worded.filter(F.arrays_overlap("words", F.array(*map(F.lit, fitted["telling"])))))
+    telling = materialize(worded.withColumn("known", known_grams(F.col("words"))).filter(beats_none(F.col("known"))).drop("known"))
     places = F.sequence(F.lit(0), F.greatest(F.size("words") - 2, F.lit(0)))
     pairs = F.when(F.size("words") > 1, F.transform(
         places, lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1)))).otherwise(F.array().cast("array<string>"))

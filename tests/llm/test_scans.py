@@ -120,6 +120,22 @@ def test_licences(spark):
     assert licences.licence_documents(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_every_line_is_scored(spark):
+    lines = ["CC BY-SA 4.0", "Photos: CC BY-NC 3.0", "Available under CC BY 4.0", "Er kam mit der Frau.", "WTFPL", "", "Öl 4.0 4.0",
+             *(n for notices in licences.NOTICES.values() for n in notices.split("\n"))]
+    fitted = licences.model()
+    at = {g: i for i, g in enumerate(fitted["grams"])}
+    want = {}
+    for i, line in enumerate(lines):
+        scores = fitted["weights"][[at[g] for g in licences.grams_of(line) if g in at]].sum(0) + fitted["weights"][-1]
+        if (family := fitted["families"][scores.argmax()]) != licences.NONE:
+            want[i] = (family, round(float(1 / np.exp(scores - scores.max()).sum()), 5))
+    got = {r.doc_id: (r.family, round(r.chance, 5))
+           for r in licences.licence_paragraphs(frame(spark, list(enumerate(lines)))).collect()}
+    assert {0, 1, 2} <= got.keys() == want.keys() and not {3, 4, 5} & got.keys()
+    assert got[0][0] == "CC-BY-SA" and all(f in (want[i][0], "unknown") and abs(c - want[i][1]) < 2e-5 for i, (f, c) in got.items())
+
+
 # Personal data ---------------------------------------------------------------------------------
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
