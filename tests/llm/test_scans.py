@@ -253,3 +253,16 @@ def test_common_subsequence_against_brute_force():
                 size[i + 1][j + 1] = size[i][j] + 1 if x == y else max(size[i][j + 1], size[i + 1][j])
         found, rest = pages.shared(a, b), iter(b)
         assert len(found) == size[-1][-1] and found == sorted(set(found)) and all(a[i] in rest for i in found)
+
+
+def test_copies_are_no_neighbours(spark):
+    def page(*blocks):
+        return "".join(f"<p>{b}</p>" for b in ("Menu one", *blocks, "Imprint"))
+    first, edited = [f"Part {i} of the story" for i in range(8)], [f"Part {i} of the story" for i in range(7)]
+    rows = [(1, "http://a.example/x/1", page("Own words")), (2, "http://a.example/x/1", page("Own words")),
+            (3, "http://a.example/x/11", page("Own words")), (4, "http://a.example/y", page("Other words")),
+            (5, "http://b.example/a", page("Some words")), (6, "http://b.example/s/1", page(*first)),
+            (7, "http://b.example/s/2", page(*edited, "Part edited")), (8, "http://b.example/t", page("Last words"))]
+    got = {r.page_id: r.main_text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[2] == got[3] == "Own words" and got[4] == "Other words"
+    assert got[6] == " ".join(first) and got[7] == " ".join([*edited, "Part edited"])
