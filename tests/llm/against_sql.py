@@ -2,7 +2,7 @@
 
 import duckdb
 
-TABLES = ("documents", "benchmark", "pages", "labels")
+TABLES = ("documents", "benchmark", "pages", "labels", "conversations", "embeddings")
 
 
 def compare(spark, sf, queries, name):
