@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from semgraph.llm import (benchmark, licences, lines, pages, personal, pieces, quality, simhash, tries,
+from semgraph.llm import (benchmark, discriminant, licences, lines, pages, personal, pieces, quality, simhash, tries,
                           urls, whitening)
 
-MODULES = (lines, licences, simhash, pieces, benchmark, urls, quality, personal, pages, tries, whitening)
+MODULES = (lines, licences, simhash, pieces, benchmark, urls, quality, personal, pages, tries, whitening,
+           discriminant)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.queries.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.QUERIES.sql.items()}
