@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,12 @@ def free_name(taken: Iterable[str], base: str) -> str:
     return base
 
 
+def texts_of(column: pa.Array, rows: int = 256) -> Iterator[str | None]:
+    """The values of a column of texts; only a few are Python strings at a time."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
 def ascii_lower(text: Column) -> Column:
     """Only A-Z in lower case, as the contracts of words and lines ask; other letters stay.
 

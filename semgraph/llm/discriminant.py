@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semgraph.llm.common import Queries, free_name, table
+from semgraph.llm.common import Queries, free_name, table, texts_of
 from semgraph.llm.quality import CAPITALS, DIGITS, FUNCTION_WORDS, SPACE_BYTES, SYMBOLS
 from semgraph.session import materialize
 
@@ -67,7 +67,7 @@ def statistics(text: Column) -> Column:
 
     @F.arrow_udf("array<double>")
     def stats(column: pa.Array) -> pa.Array:
-        counts = np.array([count_text(t or "") for t in column.to_pylist()], np.int64).reshape(-1, len(COUNTS))
+        counts = np.array([count_text(t or "") for t in texts_of(column)], np.int64).reshape(-1, len(COUNTS))
         return pa.array(list(transform(counts)), pa.list_(pa.float64()))
     return stats.asNondeterministic()(text)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semgraph.llm.common import Queries, free_name, table
+from semgraph.llm.common import Queries, free_name, table, texts_of
 from semgraph.session import materialize
 
 QUERIES = Queries()
@@ -96,7 +96,7 @@ def signals(text: Column) -> Column:
 
     @F.arrow_udf(f"struct<{', '.join(f'{name}: bigint' for name in COUNTS)}>")
     def counted(column: pa.Array) -> pa.Array:
-        rows = [count_signals(t or "") for t in column.to_pylist()]
+        rows = [count_signals(t or "") for t in texts_of(column)]
         values = np.array(rows, np.int64).reshape(-1, len(COUNTS))
         return pa.StructArray.from_arrays([pa.array(values[:, i]) for i in range(len(COUNTS))], names=list(COUNTS))
     return counted.asNondeterministic()(text)
@@ -140,10 +140,10 @@ def fit_votes(votes: np.ndarray, times: np.ndarray, rounds: int = 500) -> np.nda
     return new
 
 
-def judge(scored: DataFrame, struct: str, threshold: float = 0.5) -> DataFrame:
+def judge(scored: DataFrame, struct: str) -> DataFrame:
     """``scored`` (with ``signals`` in column ``struct``) and the posterior of each row as a last
     column, ``good_chance``. The rows are computed twice, for the counts and for the result; store them
-    first where they are small."""
+    first. Missing signals abstain."""
     pattern, chance = free_name(scored.columns, "pattern"), free_name(scored.columns, "good_chance")
     voted = scored.withColumn(pattern, vote_pattern(struct))
     counted = voted.groupBy(pattern).agg(F.count("*").alias("n")).orderBy(pattern).collect()
@@ -168,11 +168,11 @@ def drop_low_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     Null and empty texts fail. Equal texts get equal verdicts, repeated rows each their own. The
     model is fitted to the votes on all rows of ``docs``; with few rows it stays near their majority.
-    Texts are read twice rather than stored: a copy of the corpus on disk or a join that shuffles it
-    costs more than counting anew.
+    The rows are stored once with their signals, which take longer to count than a copy of the texts to write.
+    Columns may have any names.
     """
     struct = free_name(docs.columns, "signals")
-    scored = docs.withColumn(struct, signals(F.col("text")))
+    scored = materialize(docs.withColumn(struct, signals(F.col("text"))))
     judged = judge(scored, struct)
     kept = judged.filter(~base_failed(struct) & (F.col(judged.columns[-1]) >= threshold))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

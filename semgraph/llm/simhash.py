@@ -5,9 +5,7 @@ at most two of their four blocks' bits agree in two whole blocks, so all links a
 Each shard is a BK-tree whose children are keyed by their Hamming distance to the parent; a search
 follows only the edges within the radius. Shards reach their tasks by the shuffle: broadcasting them
 would take the fingerprints of all documents through the driver. A shard keeps a spanning forest of its
-links, not all pairs. Shards over a fixed size go by single-bit variants instead: two fingerprints
-differ in at most two bits exactly when they share a fingerprint or one of its 64 variants with one bit
-turned, and at most 65 fingerprints share a variant.
+links, not all pairs. A large shard is dealt again by the blocks of the bits that it leaves open.
 """
 
 from __future__ import annotations
@@ -20,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semgraph.llm.common import Queries, free_name, table
+from semgraph.llm.common import Queries, free_name, table, texts_of
 from semgraph.operators.components import component_labels
 from semgraph.session import materialize
 
@@ -30,6 +28,7 @@ SEED = 42
 RADIUS = 2
 TREE_NODES = 2048
 BANDS, BAND_ROWS = 16, 5
+STEP = 1.02
 MULTIPLIERS = np.random.default_rng(7).integers(1, 2**64, BANDS * BAND_ROWS, np.uint64, endpoint=False) | np.uint64(1)
 
 
@@ -64,7 +63,7 @@ def fingerprints(text: Column, width: int = 3) -> Column:
 
     @F.arrow_udf("bigint")
     def print_of(column: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(shingle_hashes(t or "", width)) for t in column.to_pylist()], pa.int64())
+        return pa.array([fingerprint(shingle_hashes(t or "", width)) for t in texts_of(column)], pa.int64())
     return print_of.asNondeterministic()(text)
 
 
@@ -100,50 +99,69 @@ def tree_links(values: list[int], radius: int, every: bool = False) -> Iterator[
             node = following
 
 
+def _finer(mask: int) -> list[int]:
+    """``mask`` and two of four equal parts of the bits outside it: two numbers that agree under ``mask`` and
+    differ in at most two bits agree under one of the results."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    size = len(free) // 4
+    parts = [sum(1 << b for b in free[i * size:(i + 1) * size]) for i in range(4)]
+    return [mask | parts[i] | parts[j] for i in range(4) for j in range(i)]
+
+
+def _signed(number: int) -> int:
+    return number - 2**64 if number >> 63 else number
+
+
 def fingerprint_links(prints: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES,
                       every: bool = False) -> DataFrame:
     """``u, v``: links among distinct ``prints(fp)`` that join all fingerprints within ``radius``
     (at most 2) of each other, directly or through others; with ``every`` all such pairs, some of them
-    repeatedly. A fingerprint has at most 2080 others within two bits, so pairs grow with the rows."""
+    repeatedly. A fingerprint has at most 2080 others within two bits, so pairs grow with the rows.
+
+    All go by BK-trees. A shard holds the fingerprints that agree in two of four blocks; one of more than
+    ``tree_nodes`` is dealt again by the blocks of its remaining 32 bits, and those by their remaining 16, so
+    that the last have at most 256 members."""
     if not 0 <= radius <= 2:
-        raise ValueError("blocks and variants are exact up to a radius of two")
-    block = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    pairs = [(i, j) for i in range(4) for j in range(i)]
-    keyed = prints.select("fp", F.explode(F.array(*[
-        F.lit(n << 32).bitwiseOR(F.shiftleft(block[i], 16)).bitwiseOR(block[j])
-        for n, (i, j) in enumerate(pairs)])).alias("shard"))
-    sizes = keyed.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
-    sharded = materialize(keyed.join(sizes, "shard"))
+        raise ValueError("shards are exact up to a radius of two")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[int] = []
         shard = None
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for key, value in zip(batch.column("shard").to_pylist(), batch.column("fp").to_pylist()):
-                if key != shard and held:
+            for mask, key, value in zip(*(batch.column(c).to_pylist() for c in ("mask", "shard", "fp"))):
+                if (mask, key) != shard and held:
                     found += tree_links(held, radius, every)
                     held = []
-                shard = key
+                shard = mask, key
                 held.append(value)
             yield _pairs(found)
         yield _pairs(list(tree_links(held, radius, every)) if held else [])
 
-    trees = (sharded.filter(F.col("n") <= tree_nodes).select("shard", "fp").repartition("shard")
-             .sortWithinPartitions("shard", "fp").mapInArrow(links, "u bigint, v bigint"))
-    if radius == 0:
-        return trees
-    large = sharded.filter(F.col("n") > tree_nodes).select("fp").distinct()
-    variants = large.select("fp", F.explode(F.concat(F.array(F.col("fp")), F.transform(
-        F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))).alias("variant"))
-    if radius == 1:
-        turned = variants.filter("variant <> fp").join(large.withColumnRenamed("fp", "variant"), "variant")
-        return trees.unionByName(turned.select(F.col("fp").alias("u"), F.col("variant").alias("v")))
-    if every:
-        both = variants.toDF("u", "variant").join(variants.toDF("v", "variant"), "variant").filter("u > v")
-        return trees.unionByName(both.select("u", "v"))
-    shared = variants.groupBy("variant").agg(F.min("fp").alias("v"), F.max("fp").alias("most")).filter("v < most")
-    return trees.unionByName(variants.join(shared, "variant").filter("fp <> v").select(F.col("fp").alias("u"), "v"))
+    def dealt(rows: DataFrame, masks: Column) -> DataFrame:
+        keyed = (rows.select("fp", F.explode(masks).alias("mask")).distinct()
+                 .withColumn("shard", F.col("fp").bitwiseAND(F.col("mask"))))
+        sizes = keyed.groupBy("mask", "shard").agg(F.count("*").alias("n")).filter("n > 1")
+        return materialize(keyed.join(sizes, ["mask", "shard"]))
+
+    rows, trees, masks = prints, [], [0]
+    for depth in range(3):
+        finer = {mask: _finer(mask) for mask in masks}
+        of = F.array(*[F.lit(_signed(m)) for m in finer[0]]) if depth == 0 else F.element_at(F.create_map(*[
+            c for mask, more in finer.items() for c in (F.lit(_signed(mask)), F.array(*[F.lit(_signed(m)) for m in more]))]),
+            F.col("mask"))
+        masks = sorted({m for more in finer.values() for m in more})
+        sharded = dealt(rows, of)
+        small = sharded.filter(F.col("n") <= tree_nodes) if depth < 2 else sharded
+        trees.append(small.select("mask", "shard", "fp").repartition("mask", "shard")
+                     .sortWithinPartitions("mask", "shard", "fp").mapInArrow(links, "u bigint, v bigint"))
+        rows = sharded.filter(F.col("n") > tree_nodes).select("fp", "mask")
+        if depth == 2 or rows.isEmpty():
+            break
+    found = trees[0]
+    for more in trees[1:]:
+        found = found.unionByName(more)
+    return found
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -172,109 +190,149 @@ def simhash_groups(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> Dat
 # Near-duplicates by similarity ----------------------------------------------------------------
 
 
+def distinct_shingles(text: str | None, width: int) -> np.ndarray:
+    """Different shingle hashes of a text, ascending."""
+    return np.unique(shingle_hashes(text or "", width).astype(np.uint64))
+
+
 def sketches(text: Column, width: int) -> Column:
-    """``struct<fp, bands>``: the SimHash, and ``BANDS`` hashes each of the least values that
-    ``BAND_ROWS`` multiplications give to the shingles."""
+    """``struct<fp, a, b, bands>``: the SimHash, a 128-bit hash of the set of shingles, and ``BANDS`` hashes each of
+    the least values that ``BAND_ROWS`` multiplications give to the shingles."""
 
-    @F.arrow_udf("struct<fp: bigint, bands: array<bigint>>")
+    @F.arrow_udf("struct<fp: bigint, a: bigint, b: bigint, bands: array<bigint>>")
     def sketch(column: pa.Array) -> pa.Array:
-        prints, bands = [], []
-        for text in column.to_pylist():
+        prints, sets, bands = [], [], []
+        for text in texts_of(column):
             hashes = shingle_hashes(text or "", width)
             prints.append(fingerprint(hashes))
             own = np.unique(hashes.astype(np.uint64))
+            sets.append(xxhash.xxh3_128_digest(own.tobytes()))
             least = (np.stack([(own * m).min() for m in MULTIPLIERS]) if len(own)
                      else np.zeros(len(MULTIPLIERS), np.uint64)).reshape(BANDS, BAND_ROWS)
             bands.append([xxhash.xxh64_intdigest(row.tobytes(), n) - 2**63 for n, row in enumerate(least)])
-        return pa.StructArray.from_arrays([pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                                          names=["fp", "bands"])
+        halves = np.frombuffer(b"".join(sets), np.int64).reshape(-1, 2)
+        return pa.StructArray.from_arrays([pa.array(prints, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]),
+                                           pa.array(bands, pa.list_(pa.int64()))], names=["fp", "a", "b", "bands"])
     return sketch.asNondeterministic()(text)
 
 
-def jaccard(left: Column, right: Column, width: int) -> Column:
-    """Share of common shingles among the distinct shingles of both texts; 1 if neither has words."""
+def shingle_sets(text: Column, width: int) -> Column:
+    """Different shingle hashes of each text, ``array<long>``."""
+
+    @F.arrow_udf("array<bigint>")
+    def sets(column: pa.Array) -> pa.Array:
+        return pa.array([distinct_shingles(t, width).view(np.int64) for t in texts_of(column)], pa.list_(pa.int64()))
+    return sets.asNondeterministic()(text)
+
 
-    @F.arrow_udf("double")
-    def share(a: pa.Array, b: pa.Array) -> pa.Array:
-        out, kept = [], (None, None)
-        for x, y in zip(a.to_pylist(), b.to_pylist()):
-            if kept[0] != y:
-                kept = (y, np.unique(shingle_hashes(y or "", width).astype(np.uint64)))
-            own = np.unique(shingle_hashes(x or "", width).astype(np.uint64))
-            both = len(np.intersect1d(own, kept[1], assume_unique=True))
-            every = len(own) + len(kept[1]) - both
-            out.append(both / every if every else 1.0)
-        return pa.array(out, pa.float64())
-    return share.asNondeterministic()(left, right)
+def close_sets(sets: DataFrame, similarity: float) -> DataFrame:
+    """``u, v``: candidates among ``sets(node, component, shingles)``, all pairs of different components whose
+    Jaccard similarity reaches ``similarity`` among them.
+
+    Shingles are ordered by the number of sets that have them, rare ones first. Two sets of ``n`` and ``m``
+    shingles that are close have ``s / (1 + s) * (n + m)`` of them in common (``s`` the similarity), so
+    the first common one stands early in both: no more than the others may come before it. A set is therefore
+    filed under its early shingles, and there by its own size and each size that a partner may have, in steps
+    of ``STEP``; the later the shingle, the fewer sizes. What a bucket shares widely comes late in the order
+    and is no key for sets that differ in more than the similarity allows. Each key then tightens its
+    bound to the least size that is really there, and its largest component is only met by the others.
+    """
+    s = similarity
+
+    def size_class(size: Column) -> Column:
+        return F.floor(F.log(size) / float(np.log(STEP))).cast("int")
+
+    def common(n: Column, m: Column) -> Column:
+        return F.ceil((n + m) * (s / (1 + s)) - 1e-9)
+
+    n, least = F.col("n"), F.ceil(F.col("n") * s - 1e-9)
+    spread = sets.select("node", "component", F.explode("shingles").alias("shingle"))
+    many = spread.groupBy("shingle").agg(F.count("*").alias("sets"))
+    ordered = (spread.join(many, "shingle").groupBy("node", "component")
+               .agg(F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("shingles"))
+               .withColumn("n", F.size("shingles")))
+    early = (ordered.select("node", "component", "n", F.posexplode(F.slice("shingles", F.lit(1), (n - least + 1).cast("int"))).alias("at", "x"))
+             .filter("x.sets > 1").withColumn("most", F.least(F.floor((n - F.col("at")) * ((1 + s) / s) + 1e-9) - n, F.floor(n / s + 1e-9)))
+             .filter(F.col("most") >= least))
+    own = size_class(n)
+    filed = materialize(early.select(
+        F.col("x.shingle").alias("shingle"), "node", "component", "n", "at", own.alias("own"),
+        F.explode(F.sequence(size_class(least), size_class(F.col("most")))).alias("other"))
+        .select("shingle", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+                "node", "component", "n", "at", "own"))
+    key = ["shingle", "low", "high"]
+    there = (filed.groupBy(*key).agg(
+        F.min(F.when(F.col("own") == F.col("low"), n)).alias("low_n"), F.min(F.when(F.col("own") == F.col("high"), n)).alias("high_n"),
+        F.min("component").alias("one"), F.max("component").alias("two"))
+        .filter("one < two AND low_n IS NOT NULL AND high_n IS NOT NULL").drop("one", "two"))
+    partner = F.when(F.col("own") == F.col("low"), F.col("high_n")).otherwise(F.col("low_n"))
+    tight = materialize(filed.join(there, key).filter(n - F.col("at") >= common(n, F.greatest(partner, least))).select(filed.columns))
+    largest = (tight.groupBy(*key, "component").agg(F.count("*").alias("rows")).groupBy(*key)
+               .agg(F.max(F.struct("rows", "component")).alias("most"), F.count("*").alias("components"))
+               .filter("components > 1").select(*key, F.col("most.component").alias("largest")))
+    few = tight.join(largest, key).filter("component <> largest").drop("largest").select(
+        *key, *[F.col(c).alias(f"few_{c}") for c in ("node", "component", "n", "at", "own")])
+    m, left = F.col("few_n"), F.least(n - F.col("at"), F.col("few_n") - F.col("few_at"))
+    met = few.join(tight, key).filter(
+        (F.col("component") != F.col("few_component")) & ((F.col("low") == F.col("high")) | (F.col("own") != F.col("few_own")))
+        & (left >= common(n, m)) & (F.least(n, m) >= F.greatest(n, m) * s - 1e-9))
+    return met.select(F.greatest("node", "few_node").alias("u"), F.least("node", "few_node").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id, copy_of`` of the documents that have a near copy with a smaller ``doc_id``.
 
-    Exact copies are brought together first. Candidates among distinct texts are all fingerprint pairs
-    within the radius, equal ones too, and, since at a similarity of 0.8 SimHashes differ in about nine
-    bits, all texts that share a band of least shingle values. Rounds verify them: every bucket compares
-    some of its texts, the leads, with all of its texts of other groups; a lead then leaves the bucket.
-    The texts of a bucket's largest group never lead. It ends when no bucket holds texts of two groups,
-    so each candidate pair was verified or is in one group. Pairs count if the
-    exact share of common ``width``-word shingles is at least ``similarity``. ``copy_of`` is the
-    smallest ``doc_id`` of the linked group. Texts without words, null ones too, are copies of each
-    other. Rows without ``doc_id`` have no copies; rows that share one are one document.
+    Texts with the same set of shingles become one first. Candidates are all SimHash pairs within the radius,
+    equal ones too, and, since at a similarity of 0.8 SimHashes differ in about nine bits, all texts that share a band
+    of least shingle values. Every bucket first compares its texts with its smallest one. Texts of buckets that
+    hold several groups after that are compared by ``close_sets``, which finds every close pair among them
+    without comparing a bucket pair by pair. Pairs count if the exact share of common ``width``-word
+    shingles, each counted once, is at least ``similarity``. ``copy_of`` is the smallest ``doc_id`` of the linked
+    group. Texts without words, null ones too, are copies of each other. Rows without ``doc_id`` have no copies;
+    rows that share one are one document, linked through any of their texts. Columns beside ``doc_id`` and
+    ``text`` are not used.
     """
-    whole = docs.filter("doc_id IS NOT NULL").select(
-        "doc_id", F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")).alias("body"),
-        sketches(F.col("text"), width).alias("s"))
-    sketched = materialize(whole.select("doc_id", "body", "s.fp", "s.bands"))
-    texts = materialize(sketched.groupBy("body").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"),
-                                                     F.first("bands").alias("bands")))
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("own"), sketches(F.col("text"), width).alias("s"))
+    sketched = materialize(rows.select("doc_id", "own", "s.fp", "s.a", "s.b", "s.bands"))
+    # stored with its numbers, which stay the same from then on
+    texts = materialize(sketched.groupBy("a", "b").agg(
+        F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+        .withColumn("node", F.monotonically_increasing_id()))
+    held_by = materialize(sketched.select("doc_id", "own", "a", "b").join(texts.select("a", "b", "node", "least"), ["a", "b"])
+                          .groupBy("doc_id", "node", "least").agg(F.min("own").alias("own")))
     close = fingerprint_links(texts.select("fp").distinct(), every=True).select(
         F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     near = close.select(F.xxhash64("u", "v").alias("bucket"), F.explode(F.array("u", "v")).alias("fp")).join(
         texts.select("fp", "node"), "fp").select("bucket", "node")
     buckets = (texts.select(F.explode("bands").alias("bucket"), "node")
                .unionByName(texts.select(F.xxhash64("fp").alias("bucket"), "node")).unionByName(near))
-    first = buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"),
-                                          F.count("*").alias("n")).filter("first < last").drop("last")
-    members = materialize(buckets.join(first, "bucket").filter("node <> first"))
-    pairs = materialize(members.select(F.col("node").alias("u"), F.col("first").alias("v")).distinct())
-    asked = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    # texts move once, whatever the number of candidates; only candidates go on
-    held = materialize(docs.select("doc_id", "text").join(asked.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
-    # the first text of each bucket has led; buckets of two texts are through
-    left, labels, known, leads_each = members.filter("n > 2").select("bucket", "node").distinct(), None, pairs, 1
-    while True:
-        compared = (pairs.join(held.toDF("u", "tu"), "u").join(held.toDF("v", "tv"), "v")
-                    .select("u", "v", jaccard(F.col("tu"), F.col("tv"), width).alias("share")))
-        links = compared.filter(F.col("share") >= similarity).select("u", "v")
-        if labels is not None:
-            links = links.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        labels = component_labels(links)
-        pairs, left = _next_pairs(left, labels, leads_each := 8 * leads_each)
-        pairs = materialize(pairs.join(known, ["u", "v"], "left_anti"))
-        known = known.unionByName(pairs)
-        if pairs.isEmpty() and left.isEmpty():
-            break
-    grouped = texts.join(labels, "node", "left").select("body", F.coalesce("component", "node").alias("copy_of"))
-    return (sketched.select("doc_id", "body").join(grouped, "body")
-            .filter("doc_id <> copy_of").select("doc_id", "copy_of").distinct())
-
-
-def _next_pairs(left: DataFrame, labels: DataFrame, leads_each: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``u > v`` of about ``leads_each`` texts of each bucket of ``left(bucket, node)`` with its texts of
-    other groups, and ``left`` without these leads and without the buckets that hold one group."""
-    grouped = left.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    largest = (grouped.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-               .groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("groups"))
-               .filter("groups > 1").select("bucket", F.col("most.component").alias("largest")))
-    live = materialize(grouped.join(largest, "bucket"))
-    # the same order in all buckets, so that a pair of several buckets comes up once
-    slot = F.pmod(F.xxhash64("node"), F.lit(leads_each))
-    leads = materialize(live.filter("component <> largest").groupBy("bucket", slot.alias("slot")).agg(
-        F.min(F.struct("node", "component")).alias("lead")).select("bucket", "lead"))
-    met = live.join(leads, "bucket").filter("component <> lead.component")
-    pairs = met.select(F.greatest("node", "lead.node").alias("u"), F.least("node", "lead.node").alias("v")).distinct()
-    rest = live.select("bucket", "node").join(leads.select("bucket", F.col("lead.node").alias("node")), ["bucket", "node"], "left_anti")
-    return pairs, materialize(rest)
+    first = buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").drop("last")
+    members = materialize(buckets.join(first, "bucket").distinct())
+    pairs = materialize(members.filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct())
+    asked = members.select("node").distinct().join(held_by.filter("doc_id = least"), "node").select("doc_id", "own", "node")
+    # texts move once, whatever the number of candidates; sets of shingles go on
+    sets = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("own")).join(asked.hint("merge"), ["doc_id", "own"])
+                       .select("node", shingle_sets(F.col("text"), width).alias("shingles"))
+                       .groupBy("node").agg(F.first("shingles").alias("shingles")))
+
+    def confirmed(candidates: DataFrame) -> DataFrame:
+        both = candidates.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v").withColumn(
+            "both", F.size(F.array_intersect("su", "sv")))
+        return both.filter(F.col("both") / (F.size("su") + F.size("sv") - F.col("both")) >= similarity).select("u", "v")
+
+    shared = held_by.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("u")).filter("u <> v")
+    links = confirmed(pairs).unionByName(held_by.join(shared.select("doc_id", "v"), "doc_id").select(F.col("node").alias("u"), "v"))
+    labels = component_labels(links)
+    grouped = materialize(members.select("bucket", "node").join(labels, "node", "left").select(
+        "bucket", "node", F.coalesce("component", "node").alias("component")))
+    mixed = (grouped.groupBy("bucket").agg(F.min("component").alias("one"), F.max("component").alias("two"))
+             .filter("one < two").select("bucket"))
+    open_sets = grouped.join(mixed, "bucket").select("node", "component").distinct().join(sets, "node")
+    more = confirmed(materialize(close_sets(open_sets, similarity)))
+    labels = component_labels(more.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    grouped = held_by.join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    smallest = grouped.groupBy("component").agg(F.min("doc_id").alias("copy_of"))
+    return grouped.distinct().join(smallest, "component").filter("doc_id <> copy_of").select("doc_id", "copy_of").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

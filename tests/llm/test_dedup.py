@@ -206,6 +206,45 @@ def test_near_duplicates_whose_original_is_not_the_smallest(spark):
     assert {r.doc_id: r.copy_of for r in simhash.near_duplicates(docs).collect()} == want
 
 
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_close_sets_finds_all_and_few_others(spark):
+    rng = random.Random(4)
+    sets = {}
+    for family in range(8):
+        core = [rng.getrandbits(60) for _ in range(rng.choice([1, 9, 60, 200]))]
+        for _ in range(25):
+            lost = rng.choice([0, 0.02, 0.05, 0.1, 0.2, 0.4]) * len(core)
+            own = set(rng.sample(core, int(len(core) - lost))) | {rng.getrandbits(60) for _ in range(int(rng.random() * lost) + 1)}
+            sets[len(sets)] = own
+    component = {i: i // 3 for i in sets}
+    rows = [(i, component[i], sorted(v)) for i, v in sets.items()]
+    found = {tuple(r) for r in simhash.close_sets(spark.createDataFrame(rows, "node long, component long, shingles array<long>"), 0.8).collect()}
+    close = {(u, v) for u in sets for v in sets if v < u and component[u] != component[v] and jaccard(sets[u], sets[v]) >= 0.8}
+    assert close and close <= found and all(component[u] != component[v] and v < u for u, v in found)
+
+
+def test_unlike_texts_of_one_template_are_not_paired(spark):
+    rng = random.Random(8)
+    core = [rng.getrandbits(60) for _ in range(140)]
+    for size in (100, 400):
+        rows = [(i, i, core + [rng.getrandbits(60) for _ in range(rng.randint(28, 60))]) for i in range(size)]
+        found = simhash.close_sets(spark.createDataFrame(rows, "node long, component long, shingles array<long>"), 0.8)
+        assert found.count() < size
+
+
+def test_rows_that_share_an_id(spark):
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(900)]
+    one, two, three = (" ".join(rng.choices(vocabulary, k=120)) for _ in range(3))
+    rows = [(1, one), (1, two), (2, two + " more"), (3, three), (4, "other " + one), (5, three), (5, "lone"), (6, "lone"), (6, "lone")]
+    docs = frame(spark, rows).withColumns({"node": F.lit("x"), "a": F.lit(1), "own": F.lit(2)})
+    assert {r.doc_id: r.copy_of for r in simhash.near_duplicates(docs).collect()} == {2: 1, 4: 1, 5: 3, 6: 3}
+    assert sorted((r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs).collect()) == sorted([rows[0], rows[1], rows[3]])
+
+
 def test_all_pairs_of_fingerprints(spark):
     rng = random.Random(6)
     values = {0, 3, 12, 1 << 63}
