@@ -170,24 +170,41 @@ class SemanticModel:
             raise SemanticError(f"unknown dimension {dimension!r}")
         return source
 
-    def routes_from(self, root: str) -> dict[str, list[tuple]]:
-        """Directed routes from ``root`` to each object it reaches: the first, and a second one where
-        there is any, which is all that telling one from several needs."""
-        edges: dict[str, list] = {}
+    def steps_out(self) -> dict[str, list[tuple]]:
+        """Joins that keep the rows of the near object, ``(relationship, near, far)`` by near object."""
+        steps: dict[str, list[tuple]] = {}
         for rel in self.relationships:
             step = rel.walk()
             if step and step[0] in self.objects and step[1] in self.objects:
-                edges.setdefault(step[0], []).append((rel, step[0], step[1]))
-        found: dict[str, list[tuple]] = {root: [()]}
-        frontier = [(root, ())]
-        for here, route in frontier:
-            seen = {root, *(far for _r, _n, far in route)}
-            for edge in edges.get(here, ()):
-                known = found.setdefault(edge[2], [])
-                if edge[2] not in seen and len(known) < 2:
-                    known.append(route + (edge,))
-                    frontier.append((edge[2], route + (edge,)))
-        return {name: routes for name, routes in found.items() if routes}
+                steps.setdefault(step[0], []).append((rel, step[0], step[1]))
+        return steps
+
+    def routes_from(self, root: str) -> dict[str, list[tuple]]:
+        """Directed routes without repeated objects from ``root`` to each object it reaches: a shortest one, and
+        a second one where there is any.
+
+        An object's last step comes from an object that can be reached without it, that is, one it does not
+        dominate. With two such steps it has two routes; with one, every route goes through that step, and it
+        has a second route just when the object before has one. So cycles need no enumeration of routes.
+        """
+        steps = self.steps_out()
+        first = _shortest(steps, root)
+        above = _dominators(steps, root)
+        into: dict[str, list[tuple]] = {}
+        for step in (s for near in first for s in steps.get(near, ())):
+            if step[2] != root and step[2] not in _chain(above, step[1]):
+                into.setdefault(step[2], []).append(step)
+        found: dict[str, list[tuple]] = {}
+        for name, route in first.items():  # nearer objects come first
+            found[name] = [route]
+            if not route:
+                continue
+            others = [s for s in into[name] if s is not route[-1]]
+            if others:
+                found[name].append(_shortest(steps, root, without=name)[others[0][1]] + (others[0],))
+            elif len(found[route[-1][1]]) > 1:
+                found[name].append(found[route[-1][1]][1] + (route[-1],))
+        return found
 
     def join_tree(self, metric: Metric, others: set[str]) -> JoinTree:
         """The one tree whose root sees every needed object without multiplying metric rows."""
@@ -206,12 +223,70 @@ class SemanticModel:
         steps: list[tuple] = []
         for target in sorted(needed):
             if len(routes[target]) > 1:
-                raise SemanticError(
-                    f"ambiguous join: several routes from {root} to {target}")
+                ways = " or ".join("-".join([root, *(far for _r, _n, far in way)]) for way in routes[target])
+                raise SemanticError(f"ambiguous join: several routes from {root} to {target}: {ways}")
             steps += [s for s in routes[target][0] if s not in steps]
         return JoinTree(root, tuple(steps))
 
 
+def _shortest(steps: dict[str, list[tuple]], root: str, without: str | None = None) -> dict[str, tuple]:
+    """A shortest route to each object that ``root`` reaches without passing ``without``; nearer ones first."""
+    found: dict[str, tuple] = {root: ()}
+    frontier = [root]
+    for here in frontier:
+        for step in steps.get(here, ()):
+            if step[2] not in found and step[2] != without:
+                found[step[2]] = found[here] + (step,)
+                frontier.append(step[2])
+    return found
+
+
+def _dominators(steps: dict[str, list[tuple]], root: str) -> dict[str, str]:
+    """Immediate dominator of each reachable object: the last one that all routes to it share. Found by
+    iteration in reverse postorder (Cooper, Harvey and Kennedy, 2001)."""
+    order, seen, stack = [], {root}, [(root, iter(steps.get(root, ())))]
+    while stack:
+        here, rest = stack[-1]
+        far = next((s[2] for s in rest if s[2] not in seen), None)
+        if far is None:
+            order.append(here)
+            stack.pop()
+        else:
+            seen.add(far)
+            stack.append((far, iter(steps.get(far, ()))))
+    rank = {name: i for i, name in enumerate(order)}
+    before: dict[str, list[str]] = {}
+    for near in order:
+        for step in steps.get(near, ()):
+            before.setdefault(step[2], []).append(near)
+    above = {root: root}
+    changed = True
+    while changed:
+        changed = False
+        for name in reversed(order[:-1]):
+            known = [n for n in before[name] if n in above]
+            best = known[0]
+            for other in known[1:]:
+                while best != other:
+                    if rank[best] < rank[other]:
+                        best = above[best]
+                    else:
+                        other = above[other]
+            if above.get(name) != best:
+                above[name] = best
+                changed = True
+    return above
+
+
+def _chain(above: dict[str, str], name: str) -> set[str]:
+    """The dominators of an object, itself included."""
+    chain = {name}
+    while above[name] != name:
+        name = above[name]
+        chain.add(name)
+    return chain
+
+
 @dataclass(frozen=True)
 class BoundModel:
     """A model together with the DataFrames of its objects."""

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +83,61 @@ def test_two_routes_are_ambiguous(spark, tables):
         semantic_query(model, ["Rows"], ["City"])
 
 
+def model_of(names, pairs):
+    return SemanticModel.from_dict({
+        "objects": [{"name": n, "identifiers": ["id"], "properties": [{"name": "id", "type": "string"}]} for n in names],
+        "relationships": [{"name": f"r{i}", "from": a, "to": b, "joinKeys": [["id", "id"]], "cardinality": "many_to_one"}
+                          for i, (a, b) in enumerate(pairs)],
+        "metrics": [{"name": "Rows", "expression": f"COUNT({names[0]}.id)", "type": "custom", "grain": [names[0]]}],
+        "dimensions": [{"name": f"D{n}", "sourceProperty": f"{n}.id"} for n in names]})
+
+
+def all_routes(model, root):
+    """Every route without repeated objects, by enumeration."""
+    found, steps = {}, model.steps_out()
+
+    def walk(here, route, seen):
+        found.setdefault(here, []).append(route)
+        for step in steps.get(here, ()):
+            if step[2] not in seen:
+                walk(step[2], route + (step,), seen | {step[2]})
+    walk(root, (), {root})
+    return found
+
+
+def test_routes_agree_with_enumeration_on_random_models():
+    rng = random.Random(0)
+    several = 0
+    for _ in range(5000):
+        names = [f"N{i}" for i in range(rng.randint(1, 8))]
+        pairs = [(rng.choice(names), rng.choice(names)) for _ in range(rng.randint(0, 2 * len(names)))]
+        model = model_of(names, pairs)
+        want, got = all_routes(model, "N0"), model.routes_from("N0")
+        assert got.keys() == want.keys()
+        for name, routes in got.items():
+            assert len(routes) == min(2, len(want[name])) and len(set(routes)) == len(routes)
+            assert set(routes) <= set(want[name]) and len(routes[0]) == min(map(len, want[name]))
+            several += len(routes) > 1
+    assert several > 1000
+
+
+def test_second_route_through_a_cycle_is_refused(spark):
+    pairs = ["RY", "YX", "YZ", "ZX", "RW", "WV", "VU", "UX", "XY"]
+    model = model_of(list("RYXZWVU"), [tuple(p) for p in pairs])
+    assert [len(r) for r in model.routes_from("R")["Y"]] == [1, 5]
+    bound = model.bind(spark, {n: spark.createDataFrame([("1",)], "id string") for n in model.objects})
+    with pytest.raises(SemanticError, match="R-Y or R-W-V-U-X-Y"):
+        semantic_query(bound, ["Rows"], ["DY"])
+    assert rows(semantic_query(bound, ["Rows"], ["DV"])) == {("1", 1)}
+
+
+def test_routes_of_a_large_model_take_no_enumeration():
+    names = [f"N{i}" for i in range(400)]
+    ladder = [(names[i], names[j]) for i in range(400) for j in (i + 1, i + 2, i - 1) if 0 <= j < 400]
+    assert all(len(r) == 2 for n, r in model_of(names, ladder).routes_from("N0").items() if n != "N0")
+    assert len(model_of(names, [(names[i], names[i + 1]) for i in range(399)] + [(names[399], names[5])]).routes_from("N0")["N399"]) == 1
+
+
 def test_one_to_one_joins_inner(spark, tables):
     doc = {**DOC, "relationships": [{**DOC["relationships"][0], "cardinality": "one_to_one"}]}
     model = SemanticModel.from_dict(doc).bind(spark, tables)
