@@ -13,6 +13,7 @@ from semgraph.operators.graph_query import (all_paths, graph_query, graph_stats,
 from semgraph.operators.triples import entity_uri, match_triples, to_triples
 from semgraph.sources.graph_tables import read_graph, write_graph
 from semgraph.sources.records import list_files, preview_files, read_records
+from semgraph.operators.usage import label_cache_hits
 from semgraph.streaming.cache_hits import stream_label_cache_hits
 from semgraph.streaming.dedupe import stream_dedupe_entities
 
@@ -221,21 +222,44 @@ def test_stream_dedupe_remembers_earlier_batches(spark, tmp_path):
     assert kept == ["a", "b", "c"]
 
 
-def test_stream_cache_hits_across_batches(spark, tmp_path):
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    schema = "request_id long, request_key string, ts timestamp"
-    key = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def label_stream(spark, folder, rows, files, runs=1, delay="305 seconds"):
+    """Rows ``request_id, request_key, second`` in their order of arrival, as ``files`` micro-batches."""
+    source, out, settings = str(folder / "in"), str(folder / "out"), {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "50"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
-        for wave in ([(0, 0), (1, 50)], [(2, 99), (3, 100), (4, 150)]):
-            spark.createDataFrame([(i, "k", s) for i, s in wave], "request_id long, request_key string, s long") \
-                .select("request_id", "request_key", F.timestamp_seconds(F.col("s") + 1000).alias("ts")) \
-                .write.mode("append").parquet(source)
-            stream = spark.readStream.schema(schema).parquet(source)
-            (stream_label_cache_hits(stream, 100).writeStream.format("parquet")
-             .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
-             .start(out).awaitTermination())
+        size = -(-len(rows) // files)
+        for run in range(runs):
+            for at in range(run * files // runs, (run + 1) * files // runs):
+                (spark.createDataFrame(rows[at * size:(at + 1) * size], "request_id long, request_key string, s double").coalesce(1)
+                 .select("request_id", "request_key", F.timestamp_micros((F.col("s") * 1e6).cast("long")).alias("ts"))
+                 .write.mode("append").parquet(source))
+            calls = (spark.readStream.schema("request_id long, request_key string, ts timestamp")
+                     .option("maxFilesPerTrigger", 1).parquet(source))
+            (stream_label_cache_hits(calls, 100, delay=delay, slot=20).writeStream.format("parquet")
+             .option("checkpointLocation", str(folder / "state")).trigger(availableNow=True).start(out).awaitTermination())
     finally:
-        spark.conf.unset(key)
-    got = {r["request_id"]: r["cached"] for r in spark.read.parquet(out).collect()}
-    assert got == {0: False, 1: True, 2: True, 3: False, 4: True}
+        for name in settings:
+            spark.conf.unset(name)
+    return {r["request_id"]: r["cached"] for r in spark.read.parquet(out).collect()}
+
+
+CLOSING = (-1, "closing", 1e6)
+
+
+def test_stream_cache_hits_in_any_order(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, rng.choice("aab"), round(rng.random() * 3000, rng.choice([0, 1, 3]))) for i in range(900)]
+    rows.sort(key=lambda r: r[2] + rng.random() * 300)
+    got = label_stream(spark, tmp_path, rows + [CLOSING], 10, runs=2)
+    log = spark.createDataFrame(rows, "request_id long, request_key string, s double").select(
+        "request_id", "request_key", F.timestamp_micros((F.col("s") * 1e6).cast("long")).alias("ts"))
+    want = {r["request_id"]: r["cached"] for r in label_cache_hits(log, 100).collect()}
+    assert got == want and len(got) == 900 and len({v for v in got.values()}) == 2
+
+
+def test_stream_cache_hits_of_an_older_request(spark, tmp_path):
+    rows = [(1, "k", 18_000.0), (2, "k", 17_700.0), (3, "k", None), (4, "k", 17_799.999), (5, "k", 17_800.0), CLOSING]
+    assert label_stream(spark, tmp_path, rows, 6) == {2: False, 4: True, 5: False, 1: False, 3: None}

@@ -1,3 +1,4 @@
+import random
 import copy
 import json
 from datetime import datetime
@@ -13,7 +14,7 @@ from semgraph.operators.history import activate, cached_diff, history, latest, s
 from semgraph.operators.quality import schema_quality
 from semgraph.operators.registry_checks import structure_errors, validate_models
 from semgraph.operators.regression import evaluate_answers, regression_summary
-from semgraph.operators.usage import label_cache_hits, request_cost, usage_stats
+from semgraph.operators.usage import label_cache_hits, miss_instants, request_cost, usage_stats
 from semgraph.session import materialize
 from semgraph.sources.models import explode_model, fingerprint, parse_models, read_models
 from semgraph.sources.ontology import Ontology
@@ -286,6 +287,28 @@ def test_answers(spark):
     assert not evaluate_answers(expect, answers.filter("n = 1")).filter("question = 'free'").first()["passed"]
 
 
+def test_cache_fills_of_one_key_in_many_cells(spark):
+    rng = random.Random(6)
+    spans = [(1, 4000.0, 3), (1, 90.0, 3), (2, 100_000.0, 3), (1, 50_000.0, 0)]
+    for keys, span, digits in spans:
+        rows = [(i, rng.choice([None, "a"][-keys:]), round(rng.random() * span - 1000, digits)) for i in range(3000)]
+        log = spark.createDataFrame(rows + [(9999, "a", None)], "request_id long, request_key string, s double").select(
+            "request_id", "request_key", F.timestamp_micros(F.round(F.col("s") * 1e6).cast("long")).alias("ts"))
+        want, due = {9999: None}, {}
+        for i, key, second in sorted(rows, key=lambda r: (r[2], r[0])):
+            micros = round(second * 1e6)
+            want[i] = micros < due.get(key, -2**63)
+            if not want[i]:
+                due[key] = micros + 100_000_000
+        assert {r["request_id"]: r["cached"] for r in label_cache_hits(log, 100).collect()} == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = miss_instants(log, 100).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_cache_hits_at_the_ttl_boundary(spark):
     times = [0, 50, 99, 100, 100, 150, 199, 200, 500]
     log = spark.createDataFrame([(i, "k", t) for i, t in enumerate(times)] + [(99, "other", 60)],
