@@ -444,8 +444,7 @@ def components(spark, sf):
       USING (model_id, version_id)
     WHERE k > 1 OR r.model_id IS NULL GROUP BY 1, 2, 3""")
 def disconnected(spark, sf):
-    reg = registry(spark, sf)
-    return disconnected_models(reg, model_components(reg))
+    return disconnected_models(registry(spark, sf))
 
 
 WALKS = """walks AS (
@@ -462,8 +461,7 @@ WALKS = """walks AS (
     WITH RECURSIVE {cte('objects', 'relationships')}, {NAMES}, {EDGES}, {WALKS}
     SELECT * FROM ambiguous""")
 def ambiguous(spark, sf):
-    reg = registry(spark, sf)
-    return ambiguous_joins(reg, model_components(reg))
+    return ambiguous_joins(registry(spark, sf))
 
 
 MISMATCH = """mismatch AS (SELECT b.model_id, b.version_id FROM badkeys b

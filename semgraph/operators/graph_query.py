@@ -98,33 +98,63 @@ def shortest_paths(relations: DataFrame, pairs: DataFrame, max_depth: int = 3,
     """Shortest directed path of every ``(workspace_id, src, dst)`` pair, at most ``max_depth``
     nodes long: ``workspace_id, src, dst, path, length``. Ties go to the smallest path.
 
-    A breadth-first search of all sources at once. A level joins the frontier with the edges, keeps
-    one path per source and node, drops nodes visited before and is written to the scratch folder, so
-    the plan of a level does not hold those before. Pairs leave when they are found, and sources with
-    no pair left are not walked further.
+    A breadth-first search from both ends. A step widens the smaller frontier by one edge: forward all nodes
+    that sources reach, or backward all that reach targets, one smallest path each, without those seen before.
+    Pairs whose ends meet in a node have their path, as no shorter step let them meet; they leave the search, and
+    so do ends without open pairs. Frontiers and open pairs are written at each step, so that no plan
+    holds the steps before.
     """
-    keys = ["workspace_id", "src", "node"]
-    edges = relations.select("workspace_id", F.col("source_id").alias("node"), "target_id")
-    open_pairs = materialize(pairs.select("workspace_id", "src", F.col("dst").alias("node")).distinct())
-    frontier = open_pairs.select("workspace_id", "src").distinct().select(
-        "workspace_id", "src", F.col("src").alias("node"), F.array("src").alias("path"))
-    visited = frontier.select(*keys)
-    found = frontier.join(open_pairs, keys, "left_semi")
-    open_pairs = open_pairs.filter("src <> node")
-    for _ in range(1, max_depth):
-        walked = frontier.join(open_pairs.select("workspace_id", "src").distinct(), ["workspace_id", "src"], "left_semi")
-        step = walked.join(edges, ["workspace_id", "node"]).select(
-            "workspace_id", "src", F.col("target_id").alias("node"),
-            F.concat("path", F.array("target_id")).alias("path"))
+    ws = "workspace_id"
+    edges = relations.filter("source_id <> target_id").select(ws, "source_id", "target_id")
+    open_pairs = materialize(pairs.select(ws, "src", "dst").distinct())
+    same = open_pairs.filter("src = dst").select(ws, "src", "dst", F.array("src").alias("path"))
+    ends = {}
+    for side in ("src", "dst"):
+        first = open_pairs.filter("src <> dst").select(ws, side).distinct().select(
+            ws, F.col(side).alias("end"), F.col(side).alias("node"), F.array(side).alias("path"))
+        front = materialize(first)
+        ends[side] = {"front": front, "seen": front.select(ws, "end", "node"), "size": front.count()}
+    open_pairs = open_pairs.filter("src <> dst")
+
+    def widened(side: str, front: DataFrame) -> DataFrame:
+        if side == "src":
+            step = front.join(edges, [F.col("node") == F.col("source_id"), front[ws] == edges[ws]]).select(
+                front[ws], "end", F.col("target_id").alias("node"), F.concat("path", F.array("target_id")).alias("path"))
+            # the last node of a path has to be known
+            return step if entities is None else step.join(_known(entities, None, "node"), [ws, "node"], "left_semi")
         if entities is not None:
-            step = step.join(_known(entities, None, "node"), ["workspace_id", "node"], "left_semi")
-        fresh = step.groupBy(*keys).agg(F.min("path").alias("path"))
-        frontier = materialize(fresh.join(visited, keys, "left_anti"))
-        visited = visited.unionByName(frontier.select(*keys))
-        found = found.unionByName(frontier.join(open_pairs, keys, "left_semi"))
-        open_pairs = open_pairs.join(frontier.select(*keys), keys, "left_anti")
-    return found.select("workspace_id", "src", F.col("node").alias("dst"), "path",
-                        (F.size("path") - 1).alias("length"))
+            front = front.join(_known(entities, None, "node"), [ws, "node"], "left_semi").select(ws, "end", "node", "path")
+        back = edges.toDF(ws, "before", "node")
+        return front.join(back, [ws, "node"]).select(
+            ws, "end", F.col("before").alias("node"), F.concat(F.array("before"), "path").alias("path"))
+
+    found = [same]
+    for _ in range(1, max_depth):
+        side = min(("dst", "src"), key=lambda s: ends[s]["size"])
+        end = ends[side]
+        step = widened(side, end["front"]).groupBy(ws, "end", "node").agg(F.min("path").alias("path"))
+        end["front"] = materialize(step.join(end["seen"], [ws, "end", "node"], "left_anti"))
+        end["seen"] = end["seen"].unionByName(end["front"].select(ws, "end", "node"))
+        end["size"] = end["front"].count()
+        begun = ends["src"]["front"].select(ws, F.col("end").alias("src"), "node", F.col("path").alias("head"))
+        ended = ends["dst"]["front"].select(ws, F.col("end").alias("dst"), "node", F.col("path").alias("tail"))
+        met = materialize(open_pairs.join(begun, [ws, "src"]).join(ended, [ws, "dst", "node"])
+                          .groupBy(ws, "src", "dst").agg(F.min(F.concat("head", F.slice("tail", 2, max_depth))).alias("path")))
+        found.append(met)
+        if met.isEmpty():
+            if not end["size"]:
+                break
+            continue
+        open_pairs = materialize(open_pairs.join(met, [ws, "src", "dst"], "left_anti"))
+        if open_pairs.isEmpty():
+            break
+        for s in ends:
+            left = open_pairs.select(ws, F.col(s).alias("end")).distinct()
+            ends[s]["front"] = ends[s]["front"].join(left, [ws, "end"], "left_semi")
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.select(ws, "src", "dst", "path", (F.size("path") - 1).alias("length"))
 
 
 def shortest_path(relations: DataFrame, src: str, dst: str, max_depth: int = 3,
@@ -141,7 +171,7 @@ def all_paths(relations: DataFrame, sources: DataFrame | list[str], max_depth: i
               workspace: str | None = None) -> DataFrame:
     """All simple directed paths from the sources with up to ``max_depth`` nodes, shortest first.
 
-    Every level is written to the scratch folder. Sources given as a list are few: edges meet the
+    Every level but the last is written to the scratch folder. Sources given as a list are few: edges meet the
     frontier first, and parallel ones are merged behind the join."""
     edges = in_workspace(relations, workspace).select("workspace_id", "source_id", "target_id")
     few = isinstance(sources, list)
@@ -155,15 +185,19 @@ def all_paths(relations: DataFrame, sources: DataFrame | list[str], max_depth: i
     frontier = start.filter((F.col("source_id") != F.col("target_id")) & F.lit(max_depth > 1)).select(
         "workspace_id", F.col("source_id").alias("src"),
         F.array("source_id", "target_id").alias("path"))
-    levels = [materialize(frontier.distinct() if few else frontier)]
-    for _depth in range(2, max_depth):
+    def level(paths: DataFrame, nodes: int) -> DataFrame:
+        paths = paths.distinct() if few else paths
+        return materialize(paths) if nodes < max_depth else paths
+
+    levels = [level(frontier, 2)]
+    for depth in range(2, max_depth):
         longer = (
             levels[-1].withColumn("_at", F.element_at("path", -1))
             .join(edges.withColumnRenamed("source_id", "_at"), ["workspace_id", "_at"])
             .filter(~F.array_contains("path", F.col("target_id")))
             .select("workspace_id", "src",
                     F.concat("path", F.array("target_id")).alias("path")))
-        levels.append(materialize(longer.distinct() if few else longer))
+        levels.append(level(longer, depth + 1))
     found = levels[0]
     for level in levels[1:]:
         found = found.unionByName(level)

@@ -10,6 +10,7 @@ from semgraph.operators.diff import diff_models, diff_summary
 from semgraph.operators.drift import (append_drift, definition_drift, drift_events, mapping_drift,
                                       table_columns)
 from semgraph.operators.gates import evaluate_models, gate_summary
+from semgraph.operators.model_graphs import ambiguous_pairs, graph_shape
 from semgraph.operators.history import activate, cached_diff, history, latest, soft_delete, upsert
 from semgraph.operators.quality import schema_quality
 from semgraph.operators.registry_checks import structure_errors, validate_models
@@ -287,6 +288,40 @@ def test_answers(spark):
     assert not evaluate_answers(expect, answers.filter("n = 1")).filter("question = 'free'").first()["passed"]
 
 
+def graph_rows(spark, graphs):
+    rows = [(i, list(names), [{"u": u, "v": v} for u, v in edges]) for i, (names, edges) in enumerate(graphs)]
+    return spark.createDataFrame(rows, "i int, names array<string>, edges array<struct<u: string, v: string>>")
+
+
+def test_ambiguous_pairs_and_cycles_of_random_graphs(spark):
+    rng = random.Random(2)
+    graphs = [("abcdefg", [tuple(rng.sample("abcdefg", 2)) for _ in range(rng.randint(0, 9))]) for _ in range(150)]
+
+    def ways(names, edges, longest):
+        found = {}
+
+        def walk(start, here, seen):
+            for u, v in edges:
+                far = v if here == u else u if here == v else None
+                if far is not None and far not in seen:
+                    if start < far:
+                        found[start, far] = found.get((start, far), 0) + 1
+                    if len(seen) + 1 < longest:
+                        walk(start, far, seen | {far})
+        for name in names:
+            walk(name, name, {name})
+        return {pair: n for pair, n in found.items() if n > 1}
+    df = graph_rows(spark, graphs).withColumn("shape", graph_shape(F.col("names"), F.col("edges")))
+    for longest in (2, 3, 4, 5, None):
+        rows = df.withColumn("pairs", ambiguous_pairs(F.col("names"), F.col("edges"), longest)).collect()
+        for r in rows:
+            want = ways(*graphs[r.i], longest or 7)
+            got = {(p.object1, p.object2): p.n_paths for p in r.pairs}
+            assert got == want if longest else got.keys() == want.keys()
+            girth = r["shape"].girth
+            assert bool(want) == (girth is not None and (longest is None or girth <= 2 * (longest - 1)))
+
+
 def test_cache_fills_of_one_key_in_many_cells(spark):
     rng = random.Random(6)
     spans = [(1, 4000.0, 3), (1, 90.0, 3), (2, 100_000.0, 3), (1, 50_000.0, 0)]
