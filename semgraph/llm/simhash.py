@@ -284,9 +284,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
 
     Texts with the same set of shingles become one first. Candidates are all SimHash pairs within the radius,
     equal ones too, and, since at a similarity of 0.8 SimHashes differ in about nine bits, all texts that share a band
-    of least shingle values. Every bucket first compares its texts with its smallest one. Texts of buckets that
-    hold several groups after that are compared by ``close_sets``, which finds every close pair among them
-    without comparing a bucket pair by pair. Pairs count if the exact share of common ``width``-word
+    of least shingle values. Every bucket first compares its texts with the one that shares buckets with most
+    others, which stands in the middle of its group. Texts of buckets that hold several groups after that are
+    compared by ``close_sets``, which finds every close pair among them without comparing a bucket pair by pair. Pairs count if the exact share of common ``width``-word
     shingles, each counted once, is at least ``similarity``. ``copy_of`` is the smallest ``doc_id`` of the linked
     group. Texts without words, null ones too, are copies of each other. Rows without ``doc_id`` have no copies;
     rows that share one are one document, linked through any of their texts. Columns beside ``doc_id`` and
@@ -306,9 +306,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
         texts.select("fp", "node"), "fp").select("bucket", "node")
     buckets = (texts.select(F.explode("bands").alias("bucket"), "node")
                .unionByName(texts.select(F.xxhash64("fp").alias("bucket"), "node")).unionByName(near))
-    first = buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").drop("last")
-    members = materialize(buckets.join(first, "bucket").distinct())
-    pairs = materialize(members.filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct())
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("one"), F.max("node").alias("two"))
+    shared_by = materialize(buckets.join(sizes.filter("one < two").select("bucket", "size"), "bucket").distinct())
+    # the number breaks ties, so that each run picks the same text
+    weights = shared_by.groupBy("node").agg((F.sum("size") * 2**20 + F.pmod(F.xxhash64("node"), F.lit(2**20))).alias("weight"))
+    members = materialize(shared_by.drop("size").join(weights, "node"))
+    leads = members.groupBy("bucket").agg(F.max_by("node", "weight").alias("lead"))
+    pairs = materialize(members.select("bucket", "node").join(leads, "bucket").filter("node <> lead").select(
+        F.greatest("node", "lead").alias("u"), F.least("node", "lead").alias("v")).distinct())
     asked = members.select("node").distinct().join(held_by.filter("doc_id = least"), "node").select("doc_id", "own", "node")
     # texts move once, whatever the number of candidates; sets of shingles go on
     sets = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("own")).join(asked.hint("merge"), ["doc_id", "own"])
