@@ -115,36 +115,44 @@ def shortest_paths(relations: DataFrame, pairs: DataFrame, max_depth: int = 3,
         front = materialize(first)
         ends[side] = {"front": front, "seen": front.select(ws, "end", "node"), "size": front.count()}
     open_pairs = open_pairs.filter("src <> dst")
+    # all nodes but the source have to be known; rows that share an id fall together with their paths
+    known = None if entities is None else entities.select(ws, F.col("id").alias("node"))
+    walked = 0
 
     def widened(side: str, front: DataFrame) -> DataFrame:
         if side == "src":
             step = front.join(edges, [F.col("node") == F.col("source_id"), front[ws] == edges[ws]]).select(
                 front[ws], "end", F.col("target_id").alias("node"), F.concat("path", F.array("target_id")).alias("path"))
-            # the last node of a path has to be known
-            return step if entities is None else step.join(_known(entities, None, "node"), [ws, "node"], "left_semi")
-        if entities is not None:
-            front = front.join(_known(entities, None, "node"), [ws, "node"], "left_semi").select(ws, "end", "node", "path")
+            return step if known is None else step.join(known, [ws, "node"]).select(ws, "end", "node", "path")
+        if known is not None:
+            front = front.join(known, [ws, "node"]).select(ws, "end", "node", "path")
         back = edges.toDF(ws, "before", "node")
         return front.join(back, [ws, "node"]).select(
             ws, "end", F.col("before").alias("node"), F.concat(F.array("before"), "path").alias("path"))
 
     found = [same]
-    for _ in range(1, max_depth):
+    for length in range(1, max_depth):
         side = min(("dst", "src"), key=lambda s: ends[s]["size"])
         end = ends[side]
         step = widened(side, end["front"]).groupBy(ws, "end", "node").agg(F.min("path").alias("path"))
         end["front"] = materialize(step.join(end["seen"], [ws, "end", "node"], "left_anti"))
         end["seen"] = end["seen"].unionByName(end["front"].select(ws, "end", "node"))
         end["size"] = end["front"].count()
-        begun = ends["src"]["front"].select(ws, F.col("end").alias("src"), "node", F.col("path").alias("head"))
+        if not end["size"]:
+            break
+        walked += side == "src"
+        begun = (open_pairs.join(ends["src"]["front"].select(ws, F.col("end").alias("src"), "node", F.col("path").alias("head")),
+                                 [ws, "src"]) if walked else open_pairs.withColumns({"node": F.col("src"), "head": F.array("src")}))
         ended = ends["dst"]["front"].select(ws, F.col("end").alias("dst"), "node", F.col("path").alias("tail"))
-        met = materialize(open_pairs.join(begun, [ws, "src"]).join(ended, [ws, "dst", "node"])
-                          .groupBy(ws, "src", "dst").agg(F.min(F.concat("head", F.slice("tail", 2, max_depth))).alias("path")))
-        found.append(met)
+        met = begun.join(ended, [ws, "dst", "node"]).groupBy(ws, "src", "dst").agg(
+            F.min(F.concat("head", F.slice("tail", 2, max_depth))).alias("path"))
+        if length == max_depth - 1:
+            found.append(met)
+            break
+        met = materialize(met)
         if met.isEmpty():
-            if not end["size"]:
-                break
             continue
+        found.append(met)
         open_pairs = materialize(open_pairs.join(met, [ws, "src", "dst"], "left_anti"))
         if open_pairs.isEmpty():
             break
