@@ -11,7 +11,9 @@ from __future__ import annotations
 import functools
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -334,8 +336,7 @@ def personal_data(text: Column) -> Column:
         texts = [t or "" for t in column.to_pylist()]
         base, added = [base_spans(t) for t in texts], []
         for own, more in zip(base, field_spans(fields[0], texts)):
-            taken = sorted((a, b) for _, a, b in own)
-            added.append([s for s in more if not _touches(taken, s)])
+            added.append(_apart(own, more))
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
         listed = [pa.array([[{"kind": k, "start": a, "stop": b} for k, a, b in spans] for spans in rows], kind)
                   for rows in (base, added)]
@@ -343,8 +344,12 @@ def personal_data(text: Column) -> Column:
     return find.asNondeterministic()(text)
 
 
-def _touches(taken: list[tuple[int, int]], span: Span) -> bool:
-    return any(a < span[2] and span[1] < b for a, b in taken)
+def _apart(base: list[Span], more: list[Span]) -> list[Span]:
+    """Those of ``more`` that touch no span of ``base``: none that starts before their end reaches beyond their start."""
+    ordered = sorted((start, stop) for _, start, stop in base)
+    starts = [start for start, _ in ordered]
+    reach = list(accumulate((stop for _, stop in ordered), max, initial=0))
+    return [s for s in more if reach[bisect_left(starts, s[2])] <= s[1]]
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:

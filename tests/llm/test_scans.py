@@ -190,6 +190,16 @@ def test_long_texts_take_linear_time():
         personal.base_spans(text)
 
 
+def test_spans_apart_from_others():
+    rng = random.Random(5)
+    for _ in range(300):
+        base = [("ip", a, a + rng.randint(1, 9)) for a in rng.sample(range(60), rng.randint(0, 6))]
+        more = [("secret", a, a + rng.randint(1, 9)) for a in rng.sample(range(60), rng.randint(0, 6))]
+        assert personal._apart(base, more) == [s for s in more if not any(a < s[2] and s[1] < b for _, a, b in base)]
+    many = [("ip", 10 * i, 10 * i + 4) for i in range(100_000)]
+    assert personal._apart(many, [(k, a + 5, b + 5) for k, a, b in many]) == [(k, a + 5, b + 5) for k, a, b in many]
+
+
 def test_field_on_held_out_rows():
     field = personal.Field(*personal.trained())
     rows = personal.labelled_rows(seed=77)
