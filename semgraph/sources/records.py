@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,21 +33,56 @@ def _extension(path: Column) -> Column:
 
 def _read_one(spark: SparkSession, path: str, fmt: str, row_tag: str,
               schema: T.StructType | str | None, options: dict) -> DataFrame:
+    folder = not path.rstrip("/").lower().endswith(tuple(FILE_TYPES))
+    if fmt in ("json", "csv") and "multiline" not in {o.lower() for o in options}:
+        whole, by_line = _by_layout(spark, path, fmt, folder)
+        if whole:
+            parts = [_read_files(spark, files, fmt, schema, {**options, "multiLine": more})
+                     for files, more in ((whole, True), (by_line, False)) if files]
+            return parts[0].unionByName(parts[1], allowMissingColumns=True) if by_line else parts[0]
     reader = spark.read if schema is None else spark.read.schema(schema)
-    if not path.rstrip("/").lower().endswith(tuple(FILE_TYPES)):
+    if folder:
         reader = reader.option("pathGlobFilter", GLOBS[fmt]).option("recursiveFileLookup", "true")
-    if fmt == "json":
-        df = reader.options(**options).json(path)
-    elif fmt == "csv":
-        df = reader.options(**{"header": True, "escape": '"', **options}).csv(path)
-    elif fmt == "xml":
+    if fmt in ("json", "csv"):
+        return _read_files(spark, path, fmt, schema, options, reader)
+    if fmt == "xml":
         df = reader.options(**{"rowTag": row_tag, **options}).xml(path)
     else:
         df = reader.text(path, **options).withColumnRenamed("value", "content")
+    return _with_source(df)
+
+
+def _with_source(df: DataFrame) -> DataFrame:
     columns = [c for c in df.columns if c != "source"]
     return df.select(*[f"`{c}`" for c in columns], F.col("_metadata.file_path").alias("source"))
 
 
+def _read_files(spark: SparkSession, files: str | list[str], fmt: str, schema: T.StructType | str | None,
+                options: dict, reader: DataFrameReader | None = None) -> DataFrame:
+    reader = reader or (spark.read if schema is None else spark.read.schema(schema))
+    if fmt == "json":
+        return _with_source(reader.options(**options).json(files))
+    return _with_source(reader.options(**{"header": True, "escape": '"', **options}).csv(files))
+
+
+def _by_layout(spark: SparkSession, path: str, fmt: str, folder: bool) -> tuple[list[str], list[str]]:
+    """Names of the files whose records cross lines, and of the others, by a scan over their lines: csv files in which
+    a line has an odd number of quotes; json files whose first line is no whole value."""
+    reader = spark.read.option("pathGlobFilter", GLOBS[fmt]).option("recursiveFileLookup", "true") if folder else spark.read
+    lines = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    if fmt == "csv":
+        open_quote = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+        found = lines.groupBy("file").agg(F.bool_or(open_quote).alias("crosses"))
+    else:
+        found = (lines.filter((F.trim("value") != "") & (F.col("at") == 0))
+                 .withColumn("row", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "row").alias("first"))
+                 .select("file", F.expr("try_parse_json(first) IS NULL").alias("crosses")))
+    names: tuple[list[str], list[str]] = ([], [])
+    for row in found.orderBy("file").collect():  # names of files, as any listing
+        names[not row.crosses].append(unquote(row.file))
+    return names
+
+
 def read_records(spark: SparkSession, path: str, fmt: str | None = None, row_tag: str = "row",
                  schema: T.StructType | str | None = None, **options) -> DataFrame:
     """Rows of json, csv, text or xml files with the file they came from in ``source``.
@@ -54,9 +90,10 @@ def read_records(spark: SparkSession, path: str, fmt: str | None = None, row_tag
     The format follows the path's extension unless given. A folder without a format gives the rows
     of every format in it, united by column name; a file of any other kind there is an error that
     names it. Files are read by lines, so that large ones are split over tasks: one JSON object, CSV
-    row or text line (``content``) each. Pass ``multiLine=True`` for JSON arrays and for values with
-    line feeds, ``wholetext=True`` for one row per text file; such files take one task each. Give a
-    ``schema`` in production: inference reads the files once more.
+    row or text line (``content``) each. Before that a scan finds the files whose records cross lines, JSON
+    documents and arrays over several lines and CSV values with line feeds; each of them takes one task, the
+    others stay split. ``multiLine`` set to True or False spares the scan. ``wholetext=True`` gives one row per text
+    file. Give a ``schema`` in production: inference reads the files once more.
     """
     fmt = {"txt": "text"}.get(fmt, fmt) or FILE_TYPES.get("." + path.rsplit(".", 1)[-1].lower())
     if fmt is not None:

@@ -204,6 +204,23 @@ def test_files(spark, tmp_path):
     assert [r["line"] for r in lines] == [f"l{i}" for i in range(50)]
 
 
+def test_records_that_cross_lines(spark, tmp_path):
+    folder = tmp_path / "of files"
+    folder.mkdir()
+    (folder / "a.csv").write_text('k,t\n1,"two\nlines, ""here"""\n2,"\n"\n')
+    (folder / "b.csv").write_text('k,t\n3,plain\n4,"quo""ted"\n')
+    (folder / "c.json").write_text('[\n  {"k": 5,\n   "t": "x"},\n  {"k": 6, "t": "y"}\n]\n')
+    (folder / "d.json").write_text('{"k": 7, "t": "z"}\nbroken {\n\n{"k": 8, "t": "w"}\n')
+    (folder / "e.json").write_text('\n{\n "k": 9, "t": "v"\n}\n')
+    csv = read_records(spark, str(folder), "csv", schema="k string, t string")
+    assert {(r.k, r.t) for r in csv.collect()} == {("1", 'two\nlines, "here"'), ("2", "\n"), ("3", "plain"), ("4", 'quo"ted')}
+    json_rows = read_records(spark, str(folder), "json", schema="k string, t string").filter("k IS NOT NULL")
+    assert {(r.k, r.t) for r in json_rows.collect()} == {("5", "x"), ("6", "y"), ("7", "z"), ("8", "w"), ("9", "v")}
+    one = read_records(spark, str(folder / "a.csv"))
+    assert one.count() == 2 and one.columns == ["k", "t", "source"]
+    assert read_records(spark, str(folder / "a.csv"), multiLine=False).count() > 2
+
+
 def test_stream_dedupe_remembers_earlier_batches(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
 
