@@ -12,6 +12,7 @@ from catalog.extraction import ONTOLOGY, customer_entities
 from semgraph.operators.validate import validate_entities
 from semgraph.plans.ingest import build_graph, ingest
 from semgraph.session import scratch_dir
+from semgraph.sources.graph_commits import compact, read_commits, remove_entities
 from semgraph.sources.graph_tables import read_graph, write_graph
 from semgraph.sources.models import explode_model, read_models
 from semgraph.sources.records import preview_files, read_records
@@ -151,7 +152,7 @@ def ingested(spark, sf):
     path = fresh(spark, "ingest")
     stats = ingest(order_records(spark, sf), "retail", "number", path, ONTOLOGY,
                    {"entity_type_mapping": {"id": "Order"}})
-    entities, relations = read_graph(spark, path)
+    entities, relations = read_commits(spark, path)
     counts = entities.select(F.lit(1).alias("e"), F.lit(0).alias("r")).unionByName(
         relations.select(F.lit(0).alias("e"), F.lit(1).alias("r"))).agg(
         F.sum("e").alias("entities"), F.sum("r").alias("relations"))
@@ -168,7 +169,10 @@ def ingested_twice(spark, sf):
     path, rows = fresh(spark, "twice"), order_records(spark, sf)
     for part in (rows.filter("number % 3 <> 0"), rows.filter("number % 3 <> 1"), rows.filter("number % 3 <> 1")):
         ingest(part, "retail", "number", path, ONTOLOGY, {"entity_type_mapping": {"id": "Order"}})
-    entities, relations = read_graph(spark, path)
+    return listed(*read_commits(spark, path))
+
+
+def listed(entities, relations):
     none = F.lit(None).cast("string")
     return entities.select(F.lit("entity").alias("kind"), F.col("id").alias("a"), none.alias("b"),
                            F.element_at("props", "status").alias("status")).unionByName(
@@ -176,6 +180,24 @@ def ingested_twice(spark, sf):
                          F.col("target_id").alias("b"), none.alias("status")))
 
 
+@CATALOG.add("ingest_commits", """
+    WITH o AS (SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0))
+    SELECT 'entity' AS kind, 'Order:' || o_orderkey AS a, NULL AS b, o_orderstatus AS status FROM o
+    UNION ALL SELECT 'relation', 'Order:' || o_orderkey, 'Customer:' || o_custkey, NULL FROM o""")
+def committed(spark, sf):
+    """Half of the orders come with an old status, then all as they are; the orders of customers in debt go;
+    then the commits become one."""
+    path, rows = fresh(spark, "commits"), order_records(spark, sf)
+    stale = rows.filter("number % 2 = 0").withColumn("status", F.concat(F.lit("was "), "status"))
+    for part in (stale, rows):
+        ingest(part, "retail", "number", path, ONTOLOGY, {"entity_type_mapping": {"id": "Order"}})
+    debtors = read(spark, sf, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").cast("string").alias("customer_id"))
+    remove_entities(spark, path, rows.join(debtors, "customer_id", "left_semi").select(
+        F.lit("retail").alias("workspace_id"), F.concat(F.lit("Order:"), "id").alias("id")))
+    compact(spark, path)
+    return listed(*read_commits(spark, path))
+
+
 @CATALOG.add("ingest_strict", """
     SELECT 'entities' AS part, COUNT(*) AS n FROM customer WHERE c_acctbal BETWEEN 0 AND 9000
     UNION ALL SELECT 'rejected_entities', COUNT(*) FROM customer WHERE NOT c_acctbal BETWEEN 0 AND 9000

@@ -1,8 +1,9 @@
-"""Records to graph: extract, validate, de-duplicate, merge, write."""
+"""Records to graph: extract, validate, de-duplicate, merge, commit."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from semgraph.operators.graph_build import (clean_relations, dedupe_entities, in
                                             merge_relations, pick_one, with_fingerprint)
 from semgraph.operators.validate import split_valid, validate_entities, validate_relations
 from semgraph.session import materialize
-from semgraph.sources.graph_tables import read_graph, write_graph
+from semgraph.sources.graph_commits import KEYS, commit, compact, live_commits, read_table
 from semgraph.sources.ontology import Ontology
 
 
@@ -46,40 +47,36 @@ def build_graph(records: DataFrame, workspace_id: str, order_col: str,
     }
 
 
-def _stored_graph(records: DataFrame, path: str, workspace_id: str) -> tuple[DataFrame, DataFrame] | None:
-    """What the workspace holds, or None before the first ingest."""
-    try:
-        tables = read_graph(records.sparkSession, path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return tuple(t.filter(F.col("workspace_id") == workspace_id) for t in tables)
-
+def _not_held(new: DataFrame, held: DataFrame | None, keys: list[str], workspace_id: str) -> DataFrame:
+    if held is None:
+        return new
+    held = held.filter(F.col("workspace_id") == workspace_id).select(*[F.col(k).alias(f"_{k}") for k in keys])
+    return new.join(held, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left_anti")
 
-def merged_graph(old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Entities and relations of both: of equal properties the entity stored first stays, a new entity
-    replaces the one with its id, of equal relations the one stored first stays."""
-    waves = [df.withColumn("wave", F.lit(wave)) for wave, pair in enumerate((old, new)) for df in pair]
-    entities = with_fingerprint(waves[0].unionByName(waves[2]))
-    order = [F.col("wave"), F.col("seq"), F.col("id")]
-    first = pick_one(entities, ["workspace_id", "fingerprint"], order)
-    last = pick_one(first, ["workspace_id", "id"], order, first=False)
-    relations = pick_one(waves[1].unionByName(waves[3]), ["workspace_id", "source_id", "target_id", "type"],
-                         [F.col("wave"), F.col("seq")])
-    return last.select(*new[0].columns), relations.select(*new[1].columns)
 
+def ingest(records: DataFrame, workspace_id: str, order_col: str, path: str, ontology: Ontology | None = None,
+           rules: dict | None = None, strict: bool = False, compact_after: int = 32) -> DataFrame:
+    """Build the graph of the records and commit what the workspace lacks under ``path``; both tables change at
+    once, and a run that fails changes nothing. Returns ``stats`` of the records.
 
-def ingest(records: DataFrame, workspace_id: str, order_col: str, path: str,
-           ontology: Ontology | None = None, rules: dict | None = None, strict: bool = False) -> DataFrame:
-    """Build the graph of the records, merge it into what the workspace holds under ``path`` and
-    replace that workspace's files; other workspaces are not touched. Repeating an ingest changes
-    nothing. Returns ``stats`` of the records."""
+    Of equal properties the entity stored first stays; other entities replace the one with their id, the last of
+    one ingest winning. Of equal relations the one stored first stays. Every fingerprint seen is kept, so
+    repeating an ingest changes nothing, and only fingerprints and relation keys of what is stored are read. More than
+    ``compact_after`` commits are written as one.
+    """
+    spark = records.sparkSession
     graph = build_graph(records, workspace_id, order_col, ontology, rules, strict, store=True)
-    new = (graph["entities"], graph["relations"])
-    old = _stored_graph(records, path, workspace_id)
-    if old is not None:
-        # stored before the files that it reads are replaced
-        new = tuple(materialize(df) for df in merged_graph(old, new))
-    write_graph(*new, path, "overwrite", only_given=True)
+    seen, entities, relations = (read_table(spark, path, t) for t in ("fingerprints", "entities", "relations"))
+    fresh = materialize(_not_held(with_fingerprint(graph["entities"]), seen, KEYS["fingerprints"], workspace_id))
+    last = pick_one(fresh, KEYS["entities"], [F.col("seq"), F.col("fingerprint")], first=False).drop("fingerprint")
+    gone = {}
+    if entities is not None:
+        here = entities.filter(F.col("workspace_id") == workspace_id).select(*KEYS["entities"])
+        replaced = materialize(here.join(fresh.select(*KEYS["entities"]).distinct(), KEYS["entities"], "left_semi"))
+        gone = {} if replaced.isEmpty() else {"entities": replaced}
+    commit(spark, path, {
+        "entities": last, "fingerprints": fresh.select(*KEYS["fingerprints"]),
+        "relations": _not_held(graph["relations"], relations, KEYS["relations"], workspace_id)}, gone)
+    if len(live_commits(spark, path)) > compact_after:
+        compact(spark, path)
     return graph["stats"]
