@@ -90,9 +90,9 @@ def test_random_ingests_against_a_dictionary(spark, tmp_path):
     for _ in range(6):
         rows = [(str(rng.randint(1, 5)), rng.choice("abcdef"), None, n) for n in range(4)]
         take(spark, path, rows, compact_after=3)
-        for ident, name, _owner, _n in rows:
-            if (ident, name) not in seen:
-                seen.add((ident, name))
+        for ident, name, _owner, n in rows:
+            if (name, n) not in seen:
+                seen.add((name, n))
                 graph["w", f"Thing:{ident}"] = name
         assert held(spark, path)[0] == graph
 
