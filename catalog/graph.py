@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from catalog.base import Catalog, props_text, read, stored
+from catalog.base import Catalog, props_text, read
 from semgraph.operators.extract import extract, project_properties
 from semgraph.operators.graph_build import (clean_relations, dedupe_entities, delete_entities,
                                             entity_id_map, ingest_stats, merge_relations,
@@ -20,8 +20,8 @@ from semgraph.operators.graph_query import (all_paths, get_entity, graph_query,
                                             list_types, neighbors, query_entities,
                                             query_relations, search_entities, shortest_path,
                                             shortest_paths)
-from semgraph.operators.triples import (RDF_TYPE, match_triples, to_triples, triple_neighbors,
-                                        triple_stats)
+from semgraph.operators.triples import (RDF_TYPE, match_triples, read_triples, to_triples,
+                                        triple_neighbors, triple_stats, write_triples)
 from semgraph.session import scratch_dir
 from semgraph.sources.graph_tables import read_graph, write_graph
 
@@ -57,7 +57,7 @@ def build_events(spark, sf):
     return extract(rows, {"entity_type_mapping": {"id": "Event"}}, keep=("workspace_id", "seq"))
 
 
-_WRITTEN: dict[tuple[str, str], str] = {}
+_WRITTEN: dict[tuple[str, ...], str] = {}
 
 
 def whole_graph(spark, sf):
@@ -72,8 +72,18 @@ def whole_graph(spark, sf):
     return read_graph(spark, _WRITTEN[key])
 
 
+def laid_out_triples(spark, sf):
+    """Triples by graph and predicate, and their counts, written once per application."""
+    key = (spark.sparkContext.applicationId, sf, "triples")
+    if key not in _WRITTEN:
+        path = f"{scratch_dir(spark)}/triples-{uuid.uuid4().hex}"
+        write_triples(to_triples(*whole_graph(spark, sf)), path)
+        _WRITTEN[key] = path
+    return read_triples(spark, _WRITTEN[key])
+
+
 def stored_triples(spark, sf):
-    return stored(spark, sf, "triples", lambda: to_triples(*whole_graph(spark, sf)))
+    return laid_out_triples(spark, sf)[0]
 
 
 def retail_graph(spark, sf):
@@ -506,16 +516,44 @@ def stats_of_triples(spark, sf):
     JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'""")
 def pattern(spark, sf):
     """Orders of customers in one region, with the customer's name."""
-    rel, prop = "urn:semgraph/relation/", "urn:semgraph/property/"
-    found = match_triples(stored_triples(spark, sf), [
-        ("?o", RDF_TYPE, "urn:semgraph/type/Order"),
-        ("?o", rel + "HAS_CUSTOMER", "?c"),
-        ("?c", prop + "name", "?name"),
-        ("?c", rel + "HAS_NATION", "?n"),
-        ("?n", rel + "HAS_REGION", "?r"),
-        ("?r", prop + "name", "ASIA")], ["o", "name"],
-        graph="urn:semgraph/graph/workspace/retail")
-    return found.select("o", "name")
+    return asian_orders(spark, sf, ASIAN_ORDERS)
+
+
+REL_URI, PROP_URI, RETAIL = "urn:semgraph/relation/", "urn:semgraph/property/", "urn:semgraph/graph/workspace/retail"
+ASIAN_ORDERS = [
+    ("?o", RDF_TYPE, "urn:semgraph/type/Order"),
+    ("?o", REL_URI + "HAS_CUSTOMER", "?c"),
+    ("?c", PROP_URI + "name", "?name"),
+    ("?c", REL_URI + "HAS_NATION", "?n"),
+    ("?n", REL_URI + "HAS_REGION", "?r"),
+    ("?r", PROP_URI + "name", "ASIA")]
+
+
+def asian_orders(spark, sf, patterns):
+    rows, counts = laid_out_triples(spark, sf)
+    return match_triples(rows, patterns, ["o", "name"], graph=RETAIL, counts=counts).select("o", "name")
+
+
+@CATALOG.add("triples_pattern_reversed", """
+    SELECT DISTINCT 'urn:semgraph/entity/Order%3A' || o_orderkey AS o, c_name AS name
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+    JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'""")
+def pattern_reversed(spark, sf):
+    return asian_orders(spark, sf, ASIAN_ORDERS[::-1])
+
+
+@CATALOG.add("triples_triangle", f"""
+    WITH {GRAPH} SELECT DISTINCT 'urn:semgraph/entity/' || {ENC.format('rel.s')} AS c, name, ent.ws AS w
+    FROM rel JOIN ent ON ent.id = rel.t WHERE rel.type = 'HAS_NATION'""")
+def triangle(spark, sf):
+    """A cycle through a literal that every entity holds: in the order written, the first two patterns alone
+    would pair all entities."""
+    rows, counts = laid_out_triples(spark, sf)
+    return match_triples(rows, [
+        ("?c", PROP_URI + "workspace_id", "?w"),
+        ("?n", PROP_URI + "workspace_id", "?w"),
+        ("?n", PROP_URI + "name", "?name"),
+        ("?c", REL_URI + "HAS_NATION", "?n")], ["c", "name", "w"], counts=counts).select("c", "name", "w")
 
 
 @CATALOG.add("triples_pattern_limited", """

@@ -13,7 +13,7 @@ from semgraph.operators.usage import (label_cache_hits, miss_instants, request_c
                                       route_model, usage_stats)
 from semgraph.session import materialize, scratch_dir
 from semgraph.streaming.cache_hits import stream_label_cache_hits
-from semgraph.streaming.dedupe import stream_dedupe_entities
+from semgraph.streaming.dedupe import first_entities, stream_dedupe_entities
 
 CATALOG = Catalog()
 
@@ -210,6 +210,33 @@ def streamed_documents(spark, sf):
                     F.count_distinct(map_fingerprint(F.col("props"))).alias("fingerprints"))
 
 
+@CATALOG.add("stream_first_entities", """
+    WITH marked AS (SELECT *, CASE WHEN ts - LAG(ts) OVER w <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS opens
+                    FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts)),
+         runs AS (SELECT *, SUM(opens) OVER (PARTITION BY event_type, user_id ORDER BY ts) AS run FROM marked)
+    SELECT CAST(MIN(event_id) AS VARCHAR) AS id, COUNT(*) AS n_copies, epoch_us(MAX(ts)) AS last_us FROM runs
+    GROUP BY event_type, user_id, run""")
+def streamed_first(spark, sf):
+    """Events of one type and user within two hours of each other are copies; they arrive up to five hours late, in
+    five micro-batches, and a last event a day on moves the watermark past them all."""
+    folder = f"{scratch_dir(spark)}/entities-{uuid.uuid4().hex}"
+    events = read(spark, sf, "events").select(
+        F.lit("events").alias("workspace_id"), F.col("event_id").cast("string").alias("id"), F.lit("Event").alias("type"),
+        map_of({"event_type": F.col("event_type"), "user_id": F.col("user_id").cast("string")}).alias("props"),
+        F.col("event_id").cast("long").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    late = events.withColumn("arrival", F.unix_seconds("ts") + F.pmod(F.hash("seq"), F.lit(18_000)))
+    first, last = late.agg(F.min("arrival")).scalar(), late.agg(F.max("arrival")).scalar()
+    waves = materialize(late.withColumn("wave", F.floor((F.col("arrival") - first) * 5 / (last - first + 1))))
+    for wave in range(5):
+        waves.filter(F.col("wave") == wave).select(events.columns).coalesce(1).write.mode("append").parquet(folder)
+    events.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).select(
+        F.lit("closing").alias("workspace_id"), F.lit("").alias("id"), F.lit("").alias("type"), map_of({}).alias("props"),
+        F.lit(-1).cast("long").alias("seq"), "ts").write.mode("append").parquet(folder)
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    kept = drain(first_entities(arriving, gap="2 hours", delay="6 hours", order=("seq",)), spark, "first")
+    return kept.select("id", "n_copies", F.unix_micros("last_ts").alias("last_us"))
+
+
 @CATALOG.add("stream_cache_hits", f"""
     WITH RECURSIVE {FILLS} SELECT event_id AS request_id, (event_type, ts) NOT IN
       (SELECT (event_type, ts) FROM fills WHERE ts IS NOT NULL) AS cached FROM events""")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 BASE_URI = "urn:semgraph"
 COLUMNS = ["graph", "s", "p", "o"]
+Pattern = tuple[str, str, str]
 
 
 def _encode(col: Column) -> Column:
@@ -60,20 +62,96 @@ def triple_stats(triples: DataFrame) -> DataFrame:
         F.count_distinct("s").alias("nodes"), F.count("*").alias("edges"))
 
 
-def match_triples(triples: DataFrame, patterns: list[tuple[str, str, str]], select: list[str],
-                  limit: int | None = None, graph: str | None = None) -> DataFrame:
+def write_triples(triples: DataFrame, path: str) -> None:
+    """Store the triples in a folder per graph and predicate, so that a pattern reads its predicate only, and
+    beside them how many rows, subjects and objects each predicate has. Counts of subjects and objects
+    are approximate; they choose an order, not a result."""
+    path = path.rstrip("/")
+    triples.select(*COLUMNS).write.partitionBy("graph", "p").parquet(f"{path}/triples")
+    of_predicate = read_triples(triples.sparkSession, path)[0].groupBy("graph", "p").agg(
+        F.count("*").alias("n"), F.approx_count_distinct("s").alias("subjects"),
+        F.approx_count_distinct("o").alias("objects"))
+    of_predicate.write.parquet(f"{path}/counts")
+
+
+def read_triples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
+    """Triples and their counts, for ``match_triples``; no counts while they are not written."""
+    path = path.rstrip("/")
+    triples = spark.read.schema(", ".join(f"{c} string" for c in COLUMNS)).parquet(f"{path}/triples")
+    try:
+        counts = spark.read.parquet(f"{path}/counts")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        counts = None
+    return triples.select(*COLUMNS), counts
+
+
+def _is_variable(term: str) -> bool:
+    return term.startswith("?")
+
+
+def _variables(pattern: Pattern) -> set[str]:
+    return {term[1:] for term in pattern if _is_variable(term)}
+
+
+def join_order(patterns: list[Pattern], sizes: dict[str | None, tuple[int, int, int]] | None = None) -> list[Pattern]:
+    """The patterns in the order in which they join, each sharing a variable with those before.
+
+    ``sizes`` has rows, subjects and objects by predicate, and of all under None. The pattern with the fewest
+    expected rows comes first, then always the one with the fewest rows for what is bound by then, so a pattern
+    that only closes a cycle comes as soon as both its ends are there. Ties, and all without
+    ``sizes``, go in the order written.
+    """
+    def expected(pattern: Pattern, bound: set[str]) -> float:
+        if sizes is None:
+            return 0
+        s, p, o = pattern
+        n, subjects, objects = sizes.get(None if _is_variable(p) else p, (0, 1, 1))
+        for term, distinct in ((s, subjects), (o, objects)):
+            if not _is_variable(term) or term[1:] in bound:
+                n /= max(distinct, 1)
+        return n
+
+    waiting, ordered, bound = list(patterns), [], set()
+    while waiting:
+        reachable = [p for p in waiting if not ordered or _variables(p) & bound]
+        if not reachable:
+            raise ValueError("every pattern must share a variable with another one")
+        ordered.append(min(reachable, key=lambda p: expected(p, bound)))
+        waiting.remove(ordered[-1])
+        bound |= _variables(ordered[-1])
+    return ordered
+
+
+def _sizes(counts: DataFrame, patterns: list[Pattern], graph: str | None) -> dict[str | None, tuple[int, int, int]]:
+    """Counts of the predicates in the patterns, one row each, and of all predicates together."""
+    if graph is not None:
+        counts = counts.filter(F.col("graph") == graph)
+    named = sorted({p for _, p, _ in patterns if not _is_variable(p)})
+    per = F.when(F.col("p").isin(named), F.col("p"))
+    rows = counts.groupBy(per.alias("p")).agg(*[F.sum(c).alias(c) for c in ("n", "subjects", "objects")]).collect()
+    sizes = {r["p"]: (r["n"], r["subjects"], r["objects"]) for r in rows}
+    # a subject has several predicates: the largest number of one predicate is a lower bound for all
+    sizes[None] = (sum(v[0] for v in sizes.values()), *(max((v[i] for v in sizes.values()), default=1) for i in (1, 2)))
+    return sizes
+
+
+def match_triples(triples: DataFrame, patterns: list[Pattern], select: list[str], limit: int | None = None,
+                  graph: str | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Conjunctive pattern match: terms starting with ``?`` are variables, others constants.
 
-    Each pattern is a filtered scan of the triples; patterns join on shared variables within a
-    named graph, so the constants reach the scan and no pattern joins without a key.
+    Each pattern is a filtered scan of the triples; patterns join on all shared variables within a named
+    graph, so the constants reach the scan and no pattern joins without a key. With ``counts`` (of
+    ``read_triples``) the patterns join in the order of ``join_order``, whatever order they are written in.
     """
     if graph is not None:
         triples = triples.filter(F.col("graph") == graph)
 
-    def scan(pattern: tuple[str, str, str]) -> DataFrame:
+    def scan(pattern: Pattern) -> DataFrame:
         rows, names = triples, {}
         for column, term in zip(("s", "p", "o"), pattern, strict=True):
-            if not term.startswith("?"):
+            if not _is_variable(term):
                 rows = rows.filter(F.col(column) == term)
             elif term[1:] in names:
                 rows = rows.filter(F.col(column) == F.col(names[term[1:]]))
@@ -81,20 +159,11 @@ def match_triples(triples: DataFrame, patterns: list[tuple[str, str, str]], sele
                 names[term[1:]] = column
         return rows.select("graph", *[F.col(c).alias(v) for v, c in names.items()])
 
-    def variables(pattern: tuple[str, str, str]) -> set[str]:
-        return {t[1:] for t in pattern if t.startswith("?")}
-
-    waiting = list(patterns)
-    first = waiting.pop(0)
-    result, bound = scan(first), variables(first)
-    while waiting:
-        following = next((p for p in waiting if variables(p) & bound), None)
-        if following is None:
-            raise ValueError("every pattern must share a variable with another one")
-        waiting.remove(following)
-        shared = sorted(variables(following) & bound)
-        result = result.join(scan(following), ["graph", *shared])
-        bound |= variables(following)
+    ordered = join_order(patterns, None if counts is None else _sizes(counts, patterns, graph))
+    result, bound = scan(ordered[0]), _variables(ordered[0])
+    for pattern in ordered[1:]:
+        result = result.join(scan(pattern), ["graph", *sorted(_variables(pattern) & bound)])
+        bound |= _variables(pattern)
     result = result.select("graph", *select).distinct()
     return result if limit is None else result.orderBy("graph", *select).limit(limit)
 

@@ -10,12 +10,12 @@ from semgraph.operators.graph_build import (clean_relations, dedupe_entities, de
                                             rewrite_endpoints, upsert_entities)
 from semgraph.operators.graph_query import (all_paths, graph_query, graph_stats, neighbors,
                                             search_entities, shortest_path, shortest_paths)
-from semgraph.operators.triples import entity_uri, match_triples, to_triples
+from semgraph.operators.triples import entity_uri, join_order, match_triples, read_triples, to_triples, write_triples
 from semgraph.sources.graph_tables import read_graph, write_graph
 from semgraph.sources.records import list_files, preview_files, read_records
 from semgraph.operators.usage import label_cache_hits
 from semgraph.streaming.cache_hits import stream_label_cache_hits
-from semgraph.streaming.dedupe import stream_dedupe_entities
+from semgraph.streaming.dedupe import first_entities, stream_dedupe_entities
 
 ENTITY = "workspace_id string, id string, type string, props map<string,string>, seq long"
 RELATION = "workspace_id string, source_id string, target_id string, type string, props map<string,string>, seq long"
@@ -169,6 +169,44 @@ def test_triples(spark):
         match_triples(triples, [("?a", "p", "?b"), ("?c", "p", "?d")], ["a"])
 
 
+def test_patterns_join_in_the_order_of_their_counts(spark, tmp_path):
+    sizes = {"big": (10_000, 10_000, 2), "edge": (500, 400, 20), None: (10_500, 10_000, 20)}
+    cycle = [("?a", "big", "?w"), ("?b", "big", "?w"), ("?a", "edge", "?b")]
+    assert join_order(cycle, sizes) == [cycle[2], cycle[0], cycle[1]]
+    assert join_order(cycle) == cycle
+    assert join_order([("?x", "?p", "?y"), ("?x", "big", "1")], sizes)[0][1] == "big"
+    assert join_order([("?x", "big", "?y"), ("?y", "unknown", "?z")], sizes)[0][1] == "unknown"
+
+    rng = random.Random(4)
+    rows = sorted({(rng.choice("gh"), rng.choice("abcdef"), rng.choice("pqr/ %"), rng.choice("abcdef")) for _ in range(150)})
+    write_triples(spark.createDataFrame(rows, "graph string, s string, p string, o string"), str(tmp_path / "t"))
+    triples, counts = read_triples(spark, str(tmp_path / "t"))
+    assert sorted(tuple(r) for r in triples.collect()) == rows
+    for patterns in ([("?x", "p", "?y"), ("?y", "q", "?z"), ("?z", " ", "?x")], [("?x", "?k", "?x"), ("?x", "%", "?y")],
+                     [("?x", "p", "?y"), ("?y", "?k", "a"), ("?y", "?k", "?x")]):
+        want = [("g", {}), ("h", {})]
+        for pattern in patterns:
+            grown = []
+            for graph, known in want:
+                for g, *triple in rows:
+                    new = dict(known)
+                    if g == graph and all(new.setdefault(t, v) == v if t[0] == "?" else t == v for t, v in zip(pattern, triple)):
+                        grown.append((g, new))
+            want = grown
+        names = sorted({t for p in patterns for t in p if t[0] == "?"})
+        expected = {(g, *[known[n] for n in names]) for g, known in want}
+        for written in itertools.permutations(patterns):
+            try:
+                join_order(list(written))
+            except ValueError:
+                continue
+            got = match_triples(triples, list(written), [n[1:] for n in names], counts=counts)
+            assert {tuple(r) for r in got.collect()} == expected
+    only = match_triples(triples, [("?x", "p", "a")], ["x"], graph="g", counts=counts)
+    plan = only._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(graph" in plan and "(p#" in plan.split("PartitionFilters", 1)[1].split("]")[0]
+
+
 def test_graph_tables_prune_workspaces(spark, tmp_path):
     entities = nodes_of(spark, "ab").unionByName(nodes_of(spark, "c", "v"))
     write_graph(entities, edges_of(spark, [("a", "b")]), str(tmp_path / "g"))
@@ -239,6 +277,49 @@ def test_stream_dedupe_remembers_earlier_batches(spark, tmp_path):
     assert kept == ["a", "b", "c"]
 
 
+def brute_runs(rows, gap):
+    """``(smallest seq, copies, last second)`` of each run of rows ``seq, name, second``."""
+    out = []
+    for name in {r[1].strip().lower() for r in rows}:
+        run = []
+        for seq, _n, s in sorted((r for r in rows if r[1].strip().lower() == name and r[2] is not None), key=lambda r: r[2]):
+            if run and s - run[-1][1] > gap:
+                out.append((min(run)[0], len(run), run[-1][1]))
+                run = []
+            run.append((seq, s))
+        out += [(min(run)[0], len(run), run[-1][1])] if run else []
+    return sorted(out)
+
+
+def test_first_entities_of_runs(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "A ", "b", "c"]), float(rng.randint(0, 4000))) for i in rng.sample(range(300), 300)]
+    rows += [(300, "z", 0.0), (301, "z", 100.0), (302, "z", 200.001), (303, "z", None)]
+    want = brute_runs(rows, 100)
+    assert {(300, 2, 100.0), (302, 1, 200.001)} <= set(want)
+
+    def entities(part):
+        return spark.createDataFrame(part, "seq long, name string, s double").select(
+            F.lit("w").alias("workspace_id"), F.col("seq").cast("string").alias("id"), F.lit("T").alias("type"),
+            F.create_map(F.lit("name"), "name").alias("props"), "seq",
+            F.timestamp_micros((F.col("s") * 1e6).cast("long")).alias("ts"))
+
+    def found(df):
+        return sorted((r["seq"], r["n_copies"], round(r["at"] / 1e6, 3)) for r in
+                      df.withColumn("at", F.unix_micros("last_ts")).collect())
+
+    assert found(first_entities(entities(rows), gap="100 seconds")) == want
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows.sort(key=lambda r: (r[2] or 0) + rng.random() * 500)
+    for at in range(0, len(rows), 40):
+        entities(rows[at:at + 40]).coalesce(1).write.mode("append").parquet(source)
+    entities([(999, "closing", 1e6)]).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(entities(rows).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    (first_entities(stream, gap="100 seconds", delay="501 seconds").writeStream.format("parquet")
+     .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(out).awaitTermination())
+    assert found(spark.read.parquet(out)) == want
+
+
 def label_stream(spark, folder, rows, files, runs=1, delay="305 seconds"):
     """Rows ``request_id, request_key, second`` in their order of arrival, as ``files`` micro-batches."""
     source, out, settings = str(folder / "in"), str(folder / "out"), {
