@@ -2,7 +2,7 @@
 
 The windows of the benchmark are counted and dealt by hash into blocks of bounded size; each block is
 sent to the executors once, as a broadcast variable, and all documents are scanned against it. With one
-block there is no shuffle at all; with more, the few rows with hits are brought together by document.
+block there is no shuffle at all; with more, the hit lists are brought together by document, without texts.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from semgraph.llm.common import (LOWER, UPPER, Queries, ascii_lower, digest, free_name, table)
+from semgraph.session import materialize
 
 QUERIES = Queries()
 
@@ -97,9 +99,7 @@ def _blocks(windows: DataFrame, block_windows: int) -> Iterator[tuple[int, list[
         yield parts, dealt.filter(F.col("block") == block).select("item_id", "window").collect()
 
 
-def _scan(spark: SparkSession, rows: list[Row], text: Column) -> Column:
-    sent = spark.sparkContext.broadcast(window_set(rows))
-
+def _scan(sent: Broadcast, text: Column) -> Column:
     @F.arrow_udf("struct<n_words: bigint, hits: array<int>, items: array<bigint>>")
     def scan(column: pa.Array) -> pa.Array:
         found = [scan_text(sent.value, t or "") for t in column.to_pylist()]
@@ -120,24 +120,29 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW,
     positions of hit words, ``items`` the ids with occurring windows. Null and empty texts have no
     words; an item without words has no window; an item without id marks words and is in no list.
     Hash matches count only if the words themselves are equal. Every block of at most about
-    ``block_windows`` windows is broadcast and met by all documents.
+    ``block_windows`` windows is broadcast and met by all documents; the hits of further blocks are stored
+    block by block, without texts, and a block's broadcast ends before the next one begins.
     """
     spark, found = docs.sparkSession, free_name(docs.columns, "found")
     body = free_name([*docs.columns, found], "body")
     blocks = _blocks(benchmark_windows(items, width), block_windows)
     parts, rows = next(blocks)
-    first = docs.withColumn(found, _scan(spark, rows, F.col("text")))
+    first = docs.withColumn(found, _scan(spark.sparkContext.broadcast(window_set(rows)), F.col("text")))
     if parts == 1:
         return first
-    keyed = docs.select("doc_id", "text").withColumn(body, F.xxhash64("text")).dropDuplicates(["doc_id", body])
-    more = [keyed.select("doc_id", body, _scan(spark, rows, F.col("text")).alias(found)).filter(
-        F.size(F.col(f"{found}.hits")) > 0) for _, rows in blocks]
-    union = more[0]
-    for hits in more[1:]:
-        union = union.unionByName(hits)
+    hits = []
+    for _, rows in blocks:
+        sent = spark.sparkContext.broadcast(window_set(rows))
+        marked = docs.select("doc_id", F.xxhash64("text").alias(body), _scan(sent, F.col("text")).alias(found))
+        hits.append(materialize(marked.filter(F.size(F.col(f"{found}.hits")) > 0).select(
+            "doc_id", body, f"{found}.hits", f"{found}.items")))
+        sent.destroy()
+    union = hits[0]
+    for more in hits[1:]:
+        union = union.unionByName(more)
+    # rows that share id and text have equal lists, so a set of lists is no longer than the blocks are many
     late = union.groupBy("doc_id", body).agg(
-        F.flatten(F.collect_list(f"{found}.hits")).alias("late_hits"),
-        F.flatten(F.collect_list(f"{found}.items")).alias("late_items")).select(
+        F.flatten(F.collect_set("hits")).alias("late_hits"), F.flatten(F.collect_set("items")).alias("late_items")).select(
         F.col("doc_id").alias("late_id"), F.col(body).alias("late_body"), "late_hits", "late_items")
     none = F.array().cast("array<int>")
     met = first.withColumn(body, F.xxhash64("text")).join(
