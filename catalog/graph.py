@@ -20,6 +20,7 @@ from semgraph.operators.graph_query import (all_paths, get_entity, graph_query,
                                             list_types, neighbors, query_entities,
                                             query_relations, search_entities, shortest_path,
                                             shortest_paths)
+from semgraph.operators.text_index import search_indexed, write_text_index
 from semgraph.operators.triples import (RDF_TYPE, match_triples, read_triples, to_triples,
                                         triple_neighbors, triple_stats, write_triples)
 from semgraph.session import scratch_dir
@@ -328,6 +329,20 @@ def search_text(spark, sf):
     return search_entities(entities, "00001", workspace="retail").select("id")
 
 
+@CATALOG.add("graph_search_indexed", f"""
+    WITH {ENT} SELECT ws AS workspace_id, id FROM ent
+    WHERE contains(lower(id || chr(1) || type || chr(1) || ws || chr(1) || props), '999')""")
+def search_by_index(spark, sf):
+    """Ids, types and property values that hold the text, of both workspaces, through the posting lists."""
+    entities, _r = whole_graph(spark, sf)
+    key = (spark.sparkContext.applicationId, sf, "text index")
+    if key not in _WRITTEN:
+        path = f"{scratch_dir(spark)}/grams-{uuid.uuid4().hex}"
+        write_text_index(entities, path)
+        _WRITTEN[key] = path
+    return search_indexed(entities, _WRITTEN[key], "999").select("workspace_id", "id")
+
+
 @CATALOG.add("graph_search_exact", f"""
     WITH {ENT} SELECT ws AS workspace_id, id FROM ent WHERE id = 'Order:1'""")
 def search_exact(spark, sf):
@@ -443,6 +458,31 @@ def paths_from(spark, sf):
         F.array_join("path", ">").alias("path"), "length")
 
 
+@CATALOG.add("graph_dispatch_entity", f"""
+    WITH {ENT} SELECT id, type, props FROM ent WHERE ws = 'retail' AND (name ILIKE '%00002%' OR id ILIKE '%00002%')""")
+def dispatched_entity(spark, sf):
+    return graph_query(*whole_graph(spark, sf), "00002", "entity", "retail").select("id", "type", props_text().alias("props"))
+
+
+@CATALOG.add("graph_dispatch_relation", f"""
+    WITH {REL} SELECT s AS source_id, t AS target_id, type FROM rel WHERE ws = 'retail' AND type = 'HAS_CUSTOMER'""")
+def dispatched_relation(spark, sf):
+    return graph_query(*whole_graph(spark, sf), "HAS_CUSTOMER", "relation", "retail").select("source_id", "target_id", "type")
+
+
+@CATALOG.add("graph_dispatch_path", f"""
+    WITH {GRAPH}, one AS (SELECT s || ',' || t AS path, t AS node, 1 AS length FROM rel JOIN ent USING (ws)
+                          WHERE ws = 'retail' AND s = 'Order:7' AND ent.id = t),
+    two AS (SELECT path || ',' || t AS path, t AS node, 2 AS length FROM one JOIN rel ON s = node JOIN ent ON ent.id = t
+            WHERE rel.ws = 'retail'),
+    three AS (SELECT path || ',' || t AS path, t AS node, 3 AS length FROM two JOIN rel ON s = node JOIN ent ON ent.id = t
+              WHERE rel.ws = 'retail')
+    SELECT path, length FROM one UNION ALL SELECT path, length FROM two UNION ALL SELECT path, length FROM three""")
+def dispatched_path(spark, sf):
+    found = graph_query(*whole_graph(spark, sf), "Order:7", "path", "retail", max_depth=4)
+    return found.select(F.array_join("path", ",").alias("path"), "length")
+
+
 @CATALOG.add("graph_dispatch_neighbor", f"""
     WITH {GRAPH}, steps AS (
       SELECT ws, s AS node, t AS id, 'out' AS direction FROM rel

@@ -10,6 +10,7 @@ from semgraph.operators.graph_build import (clean_relations, dedupe_entities, de
                                             rewrite_endpoints, upsert_entities)
 from semgraph.operators.graph_query import (all_paths, graph_query, graph_stats, neighbors,
                                             search_entities, shortest_path, shortest_paths)
+from semgraph.operators.text_index import candidates, search_indexed, write_text_index
 from semgraph.operators.triples import entity_uri, join_order, match_triples, read_triples, to_triples, write_triples
 from semgraph.sources.graph_tables import read_graph, write_graph
 from semgraph.sources.records import list_files, preview_files, read_records
@@ -91,6 +92,22 @@ def test_search_prefers_the_exact_id(spark):
     assert search_entities(df, "nothing").count() == 0
 
 
+def test_search_through_an_index(spark, tmp_path):
+    rng, path = random.Random(2), str(tmp_path / "i")
+    def word():
+        return "".join(rng.choices("abAé😀 ", k=rng.randint(0, 9)))
+    rows = [(rng.choice("vw"), f"e{i}", "T", {"n": word(), "m": word()}, i) for i in range(120)]
+    rows += [("w", None, "T", {"n": "abab aba"}, 0), (None, "aba", None, None, 1), ("w", "x", "T", {"n": None}, 2), ("w", "x", "T", {"n": "aba"}, 3)]
+    entities = spark.createDataFrame(rows, ENTITY)
+    write_text_index(entities, path)
+    for text in ("aba", "ABAB", "a b", "é😀", "é😀a", "bb", "e1", "e11", "x", "nothing", "", "b" * 30):
+        for workspace in (None, "w"):
+            want = sorted(str(tuple(r)) for r in search_entities(entities, text, None, workspace).collect())
+            got = sorted(str(tuple(r)) for r in search_indexed(entities, path, text, None, workspace).collect())
+            assert got == want, (text, workspace)
+    assert candidates(spark, path, "é😀a").count() < 60 and candidates(spark, path, "ab") is None
+
+
 def test_neighbors_need_an_entity_row(spark):
     entities = nodes_of(spark, ["person1"])
     relations = edges_of(spark, [("person1", "person2"), ("person1", "person1")], "KNOWS")
